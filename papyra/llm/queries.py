@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from papyra.llm.fingerprint import op1_fingerprint
+from papyra.llm.piece_encode import op3_sentencepiece
 from papyra.llm.quality import op2_quality
 from papyra.llm.source_mix import OP5_SQL, op5_source_mix
+from papyra.llm.token_counts import op8_token_counts
 from papyra.llm.url_rules import OP6_SQL, op6_url_filter
 from papyra.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_source_mix": op5_source_mix,
     "op6_url_filter": op6_url_filter,
+    "op8_token_counts": op8_token_counts,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {
