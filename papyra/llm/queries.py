@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from papyra.llm.context_mix import op7_context_mix
 from papyra.llm.fingerprint import op1_fingerprint
 from papyra.llm.piece_encode import op3_sentencepiece
 from papyra.llm.quality import op2_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op5_source_mix": op5_source_mix,
     "op6_url_filter": op6_url_filter,
+    "op7_context_mix": op7_context_mix,
     "op8_token_counts": op8_token_counts,
     "op10_warc": op10_warc,
 }
