@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from papyra.llm.context_mix import op7_context_mix
 from papyra.llm.fingerprint import op1_fingerprint
+from papyra.llm.ngram_join import op4_ngram_join
 from papyra.llm.piece_encode import op3_sentencepiece
 from papyra.llm.quality import op2_quality
 from papyra.llm.source_mix import OP5_SQL, op5_source_mix
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_ngram_join": op4_ngram_join,
     "op5_source_mix": op5_source_mix,
     "op6_url_filter": op6_url_filter,
     "op7_context_mix": op7_context_mix,
