@@ -10,6 +10,7 @@ from papyra.llm.quality import op2_quality
 from papyra.llm.source_mix import OP5_SQL, op5_source_mix
 from papyra.llm.token_counts import op8_token_counts
 from papyra.llm.url_rules import OP6_SQL, op6_url_filter
+from papyra.llm.vector_join import op9_vector_join
 from papyra.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_context_mix": op7_context_mix,
     "op8_token_counts": op8_token_counts,
+    "op9_vector_join": op9_vector_join,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {
