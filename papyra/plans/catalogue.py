@@ -1,4 +1,4 @@
 """Every query of the library by name, and its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from papyra.plans import narrative, relational, texts, vectors  # noqa: F401  they register their queries
+from papyra.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
