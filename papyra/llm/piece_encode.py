@@ -13,17 +13,19 @@ the mark U+2581, which the model reads as a space.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.pieces import MODEL, START, UNKNOWN, Pieces, load
+from papyra.llm.pieces import MODEL, SPACE, START, UNKNOWN, Pieces, load
 from papyra.llm.shared import table
 
 GAP = 0xFF  # between pre-tokens; no byte of UTF-8
-BATCH_BYTES, KEPT_WORDS = 4_000_000, 400_000
+BATCH_BYTES, KEPT_WORDS = 3_000_000, 500_000
 
 
 def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
@@ -102,7 +104,7 @@ def relaxed(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     covered[start[end - start == size[start]]] = True
     lone = np.flatnonzero(head & ~covered)
     start, end, piece = np.concatenate((start, lone)), np.concatenate((end, lone + size[lone])), np.concatenate((piece, np.full(len(lone), UNKNOWN)))
-    order = np.argsort(end * 64 + (63 - np.minimum(end - start, 63)), kind="stable")
+    order = np.argsort(end * 64 + (63 - np.minimum(end - start, 63)))
     start, end, piece = start[order], end[order], piece[order]
     # Positions are gaps between bytes; position p of the text ends at p. All positions by their distance from the start.
     n = len(x) + 1
@@ -171,12 +173,13 @@ class Encoder:
         if len(self.seen) > KEPT_WORDS:
             self._forget()
         words = [self.pieces.pretokens(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.seen]
+        flat = list(chain.from_iterable(words))
+        new = list(set(flat).difference(self.seen))
         if new:
             offsets, ids = relaxed(new, self.pieces)
             self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
             self.sizes, self.ids = np.concatenate((self.sizes, np.diff(offsets))), np.concatenate((self.ids, ids))
-        number = np.fromiter((self.seen[w] for ws in words for w in ws), dtype=np.int64)
+        number = np.fromiter(map(self.seen.__getitem__, flat), dtype=np.int64, count=len(flat))
         count = self.sizes[number] if len(number) else np.zeros(0, dtype=np.int64)
         at = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         offsets = np.concatenate(([0], np.cumsum(count)))
@@ -185,22 +188,36 @@ class Encoder:
         return by_text, self.ids[source]
 
 
-def slices(texts: list[str | None], limit: int = BATCH_BYTES) -> Iterator[list[str | None]]:
-    at = 0
-    while at < len(texts):
-        size, i = 0, at
-        while i < len(texts) and (i == at or size + len(texts[i] or "") <= limit):
-            size += len(texts[i] or "")
-            i += 1
-        yield texts[at:i]
-        at = i
+def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of an Arrow column, some at a time: at most ``limit`` bytes or a single text; with the place of the first."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, done = 0, 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield at, column.slice(at, to - at).to_pylist()
+        at, done = to, int(ends[to - 1])
 
 
-def decode(ids: np.ndarray, pieces: Pieces) -> str:
-    if not hasattr(pieces, "of_id"):
-        pieces.of_id = {int(i): b for i, b in zip(pieces.ids, pieces.utf8)} | {int(i): bytes([b]) for b, i in enumerate(pieces.byte_ids)}
-    text = b"".join(map(pieces.of_id.__getitem__, ids.tolist())).decode("utf-8", "replace")
-    return text[1:] if pieces.prefix and text.startswith(" ") else text
+class Decoder:
+    """Puts pieces together again: the bytes of all ids of a batch are gathered at once."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        spelled = {int(i): b for i, b in zip(pieces.ids, pieces.utf8)} | {int(i): bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+        self.size = np.zeros(max(spelled) + 1, dtype=np.int64)
+        for i, b in spelled.items():
+            self.size[i] = len(b)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelled[i] for i in sorted(spelled)), dtype=np.uint8)
+        self.prefix = pieces.prefix
+
+    def __call__(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The texts of ids that stand one after the other."""
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        source = np.repeat(self.start[ids] - ends[:-1], size) + np.arange(ends[-1])
+        data, cuts = self.bytes[source].tobytes(), ends[offsets].tolist()
+        texts = (data[i:j].decode("utf-8", "replace") for i, j in zip(cuts, cuts[1:]))
+        return [t[1:] if self.prefix and t.startswith(" ") else t for t in texts]
 
 
 def encoded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
@@ -209,16 +226,14 @@ def encoded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shipped.value
-        encode = Encoder(pieces)
+        encode, decode = Encoder(pieces), Decoder(pieces)
         for b in batches:
-            done = 0
-            for part in slices(b.column(1).to_pylist()):
+            for at, part in slices(b.column(1)):
                 offsets, ids = encode([t or "" for t in part])
                 null = np.array([t is None for t in part])
-                intact = [None if t is None else decode(ids[i:j], pieces) == t.replace("▁", " ") for t, i, j in zip(part, offsets, offsets[1:])]
+                intact = [None if t is None else d == t.replace(SPACE, " ") for t, d in zip(part, decode(offsets, ids))]
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(part)), pa.array(np.diff(offsets), mask=null), lists, pa.array(intact, pa.bool_())], ["doc_id", "n_tokens", "ids", "intact"])
-                done += len(part)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(np.diff(offsets), mask=null), lists, pa.array(intact, pa.bool_())], ["doc_id", "n_tokens", "ids", "intact"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, intact boolean")
@@ -229,8 +244,12 @@ def decoded(tokens: DataFrame, *, key: str = "doc_id", ids: str = "ids", model:
     shipped = tokens.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = Decoder(shipped.value)
         for b in batches:
-            texts = [None if i is None else decode(np.array(i, dtype=np.int64), shipped.value) for i in b.column(1).to_pylist()]
+            lists = b.column(1)
+            offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            texts = decode(offsets, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            texts = [t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = tokens.schema[key].dataType.simpleString()

@@ -12,6 +12,7 @@ Edges: a null or empty text has 0 tokens, words and characters; a character that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +139,7 @@ class Counter:
         if len(self.seen) > KEPT_WORDS:
             self.seen = {}
         words = [self.pieces.pretokens(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.seen]
+        new = list(set(chain.from_iterable(words)).difference(self.seen))
         if new:
             self.seen.update(zip(new, counted(new, self.pieces, self.lookup).tolist()))
         get = self.seen.__getitem__
@@ -152,12 +153,10 @@ def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(shipped.value)
         for b in batches:
-            done = 0
-            for part in slices(b.column(1).to_pylist()):
+            for at, part in slices(b.column(1)):
                 texts = [t or "" for t in part]
                 tokens, pre = count(texts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(part)), pa.array(tokens), pa.array(pre), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "n_tokens", "n_pretokens", "n_chars"])
-                done += len(part)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(tokens), pa.array(pre), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "n_tokens", "n_pretokens", "n_chars"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pretokens long, n_chars long")
