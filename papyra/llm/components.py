@@ -33,6 +33,10 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
         return a != b
 
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist() if len(a) else ():
+            self.link(x, y)
+
     def rows(self) -> pa.RecordBatch:
         nodes = list(self.up)
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([self.root(v) for v in nodes], pa.int64())], ["a", "b"])
@@ -44,18 +48,17 @@ def contracted(edges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for batch in batches:
-            pairs = np.unique(np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], axis=1), axis=0) if batch.num_rows else np.zeros((0, 2))
-            for a, b in pairs.tolist():
-                forest.link(a, b)
+            forest.add(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
         yield forest.rows()
 
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     """(node, label) for each node of the edges (a, b): label is its component's least node. All labels take their neighbours'
-    least and then their label's label, so that chains halve in each round."""
-    edges = written(contracted(edges).filter("a <> b").distinct(), "edges")
+    least and then their label's label, so that chains halve in each round. First, tasks drop what their edges say twice;
+    and again, as fewer tasks then hold what is left."""
+    edges = written(contracted(written(contracted(edges), "edges-once")).filter("a <> b").distinct(), "edges")
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges-both")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     for _ in range(most):

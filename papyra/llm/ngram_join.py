@@ -8,9 +8,10 @@ that are connected already needn't be probed again.
 
 Which sets meet in a unit is settled without loss by pigeonhole. Linked sets of about some size differ in at most d grams, so
 if the number space is cut into k = d + 1 + e parts, they have at least e + 1 parts in common, whole. Each set emits a
-signature for each part (its grams there), for its own class of sizes and the next smaller. Parts with fewer than ``few`` grams
-would be common among strangers; they are left out, unless a set has more than e of them. Sets with a common signature are
-candidates; components of candidates make units of at most ``BLOCK`` sets, and larger ones are cut into blocks: first all
+signature for each part (its grams there), for its own class of sizes and the next smaller, but leaves out up to e parts that
+are common among strangers: empty ones, and small ones whose signature many documents have (counted over all). As all sets
+leave out the most common first, the least common part that two linked sets share is emitted by both. Sets with a common
+signature are candidates; components of candidates make units of at most ``BLOCK`` sets, and larger ones are cut into blocks: first all
 blocks against the first, then what is not yet in the largest part against all. Full sets travel only for candidates.
 
 Edges: a null text, or one without words, has an empty set and links with nothing; with fewer than n words the whole
@@ -20,7 +21,6 @@ if it has no other; hot sets of copies are one vertex.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -31,24 +31,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.components import Forest, components
+
 from papyra.llm.piece_encode import slices
 from papyra.llm.shared import partitions, table, written
 
-BLOCK, BLOOM_BITS = 64, 26
+BLOCK, LATE_BLOCK, BLOOM_BITS = 64, 128, 26
 
 
 @dataclass(frozen=True)
 class Likeness:
-    """Grams of so many words; sets link with part / whole of their union in common; parts of fewer than ``few`` grams are weak."""
+    """Grams of so many words; sets link with part / whole of their union in common."""
 
     words: int
     part: int
     whole: int
-    few: int
 
 
 #: What the query's contract asks for, and what holds for near duplicates otherwise.
-CONTRACT, NEAR = Likeness(3, 90, 100, 3), Likeness(5, 80, 100, 2)
+CONTRACT, NEAR = Likeness(3, 90, 100), Likeness(5, 80, 100)
+#: Parts of at most so many grams are counted: signatures that more sets than these bounds have are common, by degrees.
+FEW, COMMON = 3, (2, 8, 64, 512, 4096)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
@@ -63,6 +65,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes of text that are worked on together: each takes some hundred bytes of memory.
+TOGETHER, SEEN = 300_000, 200_000
+
+
+@cache
+def _powers(n: int, base: int) -> np.ndarray:
+    return np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, np.uint64(base), dtype=np.uint64))))
+
+
 def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of the texts and their sets, each sorted, one after the other."""
     data = [(t or "").encode() for t in texts]
@@ -71,9 +82,9 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     gap = _SPACE[x]
     before = np.concatenate(([True], gap[:-1]))
     starts, ends = np.flatnonzero(before & ~gap), np.flatnonzero(gap & ~before)
-    power = np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(x), _B, dtype=np.uint64))))[: len(x) + 1]
-    back = np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(x), _B_INVERSE, dtype=np.uint64))))[: len(x) + 1]
-    sums = np.concatenate(([np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[:-1])))
+    upto = 1 << len(x).bit_length()
+    power, back = _powers(upto, int(_B)), _powers(upto, int(_B_INVERSE))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[: len(x)])))
     word = _mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
     owner = np.searchsorted(text_ends, starts, side="right")
     count = np.bincount(owner, minlength=len(texts)).astype(np.int64)
@@ -105,16 +116,6 @@ def set_keys(offsets: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _margin(size: int, differ: int, few: int) -> int:
-    """So many parts more that sets with more weak parts are rare; where that can't be had, a few."""
-    for e in range(2 * differ + 1):
-        mean = size / (differ + 1 + e)
-        weak = (differ + 1 + e) * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(few))
-        if e >= weak + 2 * math.sqrt(weak):
-            return e
-    return min(4, differ // 2)
-
-
 @cache
 def size_classes(most: int, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least size of each class up to ``most``; the number of parts and the margin for sets of the class with the next."""
@@ -123,12 +124,13 @@ def size_classes(most: int, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.
         least.append(least[-1] * like.whole // like.part + 1)
     largest = [n - 1 for n in least[1:]] + [least[-1] * like.whole // like.part]
     differ = [(like.whole - like.part) * (m + m * like.whole // like.part) // (like.whole + like.part) for m in largest]
-    margin = [_margin(n, d, like.few) for n, d in zip(least, differ)]
+    margin = [d // 4 + (d >= 2) for d in differ]
     return np.array(least), np.array([d + 1 + e for d, e in zip(differ, margin)]), np.array(margin)
 
 
-def signatures(offsets: np.ndarray, grams: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) of all parts that sets emit."""
+def signatures(offsets: np.ndarray, grams: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All parts of all sets, for both classes: index of the set, signature, number of grams, and how many parts of that set
+    and class may be left out."""
     size = np.diff(offsets)
     least, parts, margin = size_classes(1 << int(size.max(initial=1)).bit_length(), like)
     own = np.searchsorted(least, size, side="right") - 1
@@ -146,12 +148,27 @@ def signatures(offsets: np.ndarray, grams: np.ndarray, like: Likeness) -> tuple[
         count = np.bincount(cell[inside], minlength=base[-1])
         total = _segment_sums(mixed[inside], np.concatenate(([0], np.cumsum(count))))
         of = np.repeat(np.arange(len(size)), k)
-        weak = count < like.few
-        emits = ~weak | (np.bincount(of, weights=weak, minlength=len(size)) > margin[np.maximum(scheme, 0)])[of]
         part = np.arange(base[-1]) - base[:-1][of]
         sig = _mixed(total + _mixed((scheme[of].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) + np.uint64(1)))
-        out.append((of[emits], sig[emits].view(np.int64)))
-    return np.concatenate([o for o, _ in out]), np.concatenate([s for _, s in out])
+        out.append((of, sig.view(np.int64), count, margin[np.maximum(scheme, 0)][of]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def emitted(of: np.ndarray, sig: np.ndarray, count: np.ndarray, spare: np.ndarray, blooms: list[np.ndarray]) -> np.ndarray:
+    """Which parts a set emits: all but its ``spare`` most common ones. Linked sets have at least spare + 1 parts in common,
+    and in one order of all signatures (how common, then the number) the least common of these is left out by neither.
+    Signatures come in runs of one set and class."""
+    level = np.where(count == 0, len(blooms) + 1, 0)
+    some = np.flatnonzero((count > 0) & (count <= FEW))
+    for b in blooms:
+        level[some] += _holds(b, sig[some])
+    rare = np.lexsort((sig, -level))
+    run = np.cumsum(np.concatenate(([True], (of[1:] != of[:-1]) | (spare[1:] != spare[:-1])))) if len(of) else np.zeros(0, dtype=np.int64)
+    rare = rare[np.argsort(run[rare], kind="stable")]  # by run, the most common first
+    starts = np.searchsorted(run[rare], run[rare], side="left")
+    keep = np.ones(len(of), dtype=bool)
+    keep[rare[(np.arange(len(of)) - starts < spare[rare]) & (level[rare] > 0)]] = False
+    return keep
 
 
 class Node:
@@ -192,8 +209,10 @@ def prefix_tree(sets: list[np.ndarray]) -> Node:
     return root
 
 
-def tree_links(sets: list[np.ndarray], probes: list[int], forest: Forest, like: Likeness) -> None:
-    """Links the indexes of sets in ``forest``, as far as they aren't connected yet; pairs have at least one of ``probes``."""
+def tree_links(sets: list[np.ndarray], probes: list[int], forest: Forest, like: Likeness) -> list[tuple[int, int]]:
+    """Links the indexes of sets in ``forest``, as far as they aren't connected yet; pairs have at least one of ``probes``.
+    Returns the links that connected something."""
+    made: list[tuple[int, int]] = []
     part, whole = like.part, like.whole
     every, number = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
     cuts = np.cumsum([len(s) for s in sets])[:-1]
@@ -224,10 +243,11 @@ def tree_links(sets: list[np.ndarray], probes: list[int], forest: Forest, like:
             if node.least * part > len(mine) * whole or node.most < least or overlap + min(left, node.most - depth) < needs(len(mine), least):
                 continue
             for i in node.ends:
-                if i != x and whole * overlap >= part * (len(mine) + len(small[i]) - overlap):
-                    forest.link(x, i)
+                if i != x and whole * overlap >= part * (len(mine) + len(small[i]) - overlap) and forest.link(x, i):
+                    made.append((x, i))
             todo += [(c, depth, overlap) for c in node.children]
         has[mine] = False
+    return made
 
 
 _KEYED = "k long, n long, key long"
@@ -238,35 +258,52 @@ def keyed(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            for t in slices(b.column(1).to_pylist()):
+            for at, t in slices(b.column(1), TOGETHER):
                 offsets, grams = gram_sets(t, like.words)
                 size = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(t)), pa.array(size), pa.array(set_keys(offsets, grams), mask=size == 0)], ["k", "n", "key"])
-                at += len(t)
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _KEYED)
 
 
+def common_signatures(docs: DataFrame, text: str, like: Likeness) -> list[np.ndarray]:
+    """For each bound of COMMON a Bloom filter of the small parts' signatures that more documents have. What it holds by
+    chance is common to all tasks alike, so nothing is lost by that."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, t in slices(b.column(0), TOGETHER):
+                _, sig, count, _ = signatures(*gram_sets(t, like.words), like)
+                sig, n = np.unique(sig[(count > 0) & (count <= FEW)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n)], ["key", "n"])
+
+    least = COMMON[0]
+    counts = written(docs.select(text).mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > least), "common")
+    return [_bloom(counts.filter(F.col("n") > c).select("key")) for c in COMMON]
+
+
 def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
-    """(a, b): sets with a common signature, each linked to the first of the signature."""
+    """(a, b): what connects sets with common signatures; each set of a signature is linked to its first, and each task keeps
+    of its links no more than one for each set."""
     spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(common_signatures(docs, text, like))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task emit once
         for b in batches:
-            for t in slices(b.column(0).to_pylist()):
-                if len(seen) > 1_000_000:
+            for _, t in slices(b.column(0), TOGETHER):
+                if len(seen) > SEEN:
                     seen.clear()
                 offsets, grams = gram_sets(t, like.words)
                 keys = set_keys(offsets, grams)
                 new = np.array([not (k in seen or seen.add(k)) for k in keys.tolist()], dtype=bool) & (np.diff(offsets) > 0)
-                of, sig = signatures(offsets, grams, like)
-                keep = new[of]
+                of, sig, count, spare = signatures(offsets, grams, like)
+                keep = emitted(of, sig, count, spare, shipped.value) & new[of]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(keys[of[keep]])], ["sig", "key"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None  # signature, its first set
+        forest = Forest()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -276,39 +313,40 @@ def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
             first = np.concatenate(([last[1] if last else 0], key[new]))[run]
             some = first != key
             last = int(sig[-1]), int(first[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(first[some]), pa.array(key[some])], ["a", "b"])
+            forest.add(first[some], key[some])
+        yield forest.rows()
 
     sigs = docs.select(text).mapInArrow(emit, "sig long, key long")
     return sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "key").mapInArrow(meet, "a long, b long")
 
 
-def _bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of the keys, of a fixed size: more keys only let more others pass."""
+def _bloom(keys: DataFrame, bits: int = BLOOM_BITS, shard: int = 21) -> np.ndarray:
+    """A Bloom filter of the keys, of a fixed size: more keys only let more others pass. Places are dealt to shards of the
+    filter, and only the shards' bits come to the driver."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(1 << bits, dtype=bool)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            on[_places(np.asarray(b.column(0)), bits).ravel()] = True
-        packed = np.packbits(on)
-        for i in range(0, len(packed), 1 << 18):
-            if packed[i : i + (1 << 18)].any():
-                yield pa.RecordBatch.from_pydict({"i": pa.array([i]), "v": pa.array([packed[i : i + (1 << 18)].tobytes()], pa.binary())})
+            p = np.unique(_places(np.asarray(b.column(0)), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((p >> shard).astype(np.int32)), pa.array((p & ((1 << shard) - 1)).astype(np.int32))], ["i", "p"])
 
     def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(1 << 18, dtype=np.uint8)
+        on = np.zeros(1 << shard, dtype=bool)
         for b in parts:
-            for v in b.column("v"):
-                part = np.frombuffer(v.as_buffer(), dtype=np.uint8)
-                on[: len(part)] |= part
-        yield pa.RecordBatch.from_pydict({"i": pa.array([key[0].as_py()]), "v": pa.array([on.tobytes()], pa.binary())})
+            on[np.asarray(b.column("p"))] = True
+        yield pa.RecordBatch.from_pydict({"i": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in keys.mapInArrow(add, "i long, v binary").groupBy("i").applyInArrow(merge, "i long, v binary").toLocalIterator():
+    for r in keys.mapInArrow(places, "i int, p int").groupBy("i").applyInArrow(merge, "i int, v binary").collect():
         part = np.frombuffer(r.v, dtype=np.uint8)
-        out[r.i : r.i + len(part)] = part[: len(out) - r.i]
+        out[r.i * len(part) : (r.i + 1) * len(part)] = part
     return out
 
 
+def _holds(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    p = _places(keys, BLOOM_BITS)
+    return ((bloom[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
     h = _mixed(keys.view(np.uint64))
     return np.stack([(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 19, 38)], axis=1).astype(np.int64)
@@ -321,13 +359,12 @@ def candidate_sets(docs: DataFrame, text: str, members: DataFrame, like: Likenes
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, seen = shipped.value, set()
         for b in batches:
-            for t in slices(b.column(0).to_pylist()):
-                if len(seen) > 1_000_000:
+            for _, t in slices(b.column(0), TOGETHER):
+                if len(seen) > SEEN:
                     seen.clear()
                 offsets, grams = gram_sets(t, like.words)
                 keys = set_keys(offsets, grams)
-                p = _places(keys, BLOOM_BITS)
-                passed = ((bloom[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1) & (np.diff(offsets) > 0)
+                passed = _holds(bloom, keys) & (np.diff(offsets) > 0)
                 rows = [i for i in np.flatnonzero(passed).tolist() if not (int(keys[i]) in seen or seen.add(int(keys[i])))]
                 short = (grams >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array([short[offsets[i] : offsets[i + 1]].tobytes() for i in rows], pa.binary())], ["key", "grams"])
@@ -352,15 +389,15 @@ def unit_links(units: DataFrame, like: Likeness) -> DataFrame:
         first: dict[int, int] = {}
         for i, k in enumerate(known):
             forest.link(i, first.setdefault(k, i))
-        tree_links(sets, [i for i, p in enumerate(probe) if p], forest, like)
-        return pa.table({"a": pa.array(keys, pa.int64()), "b": pa.array([keys[forest.root(i)] for i in range(len(keys))], pa.int64())})
+        made = tree_links(sets, [i for i, p in enumerate(probe) if p], forest, like)
+        return pa.table({"a": pa.array([keys[i] for i, _ in made], pa.int64()), "b": pa.array([keys[j] for _, j in made], pa.int64())})
 
     return units.select("unit", "probe", "key", "grams", "known").groupBy("unit").applyInArrow(run, "a long, b long")
 
 
 def linked_sets(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
     """(key, label) for each set that is linked with another: the components of links."""
-    clusters = components(candidate_edges(docs, text, like)).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+    clusters = components(written(candidate_edges(docs, text, like), "candidates")).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     # Blocks: numbered by a hash, so that no cluster is sorted in one task; about BLOCK / 2 sets each.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") * 2 / BLOCK)).cast("int")
@@ -374,16 +411,18 @@ def linked_sets(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
     links = written(unit_links(own.unionByName(anchors).select(unit, "probe", "key", "grams", F.xxhash64("key").alias("known")), like), "links")
     found = components(links)
     # Second round, for clusters of several blocks: sets outside their cluster's largest component against all blocks.
-    large = written(sets.filter("blocks > 1").select("key", "cluster", "block", "blocks"), "large")
+    large = written(sets.filter("blocks > 1").select("key", "cluster"), "large")
     if not large.isEmpty():
         state = large.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         counts = state.groupBy("cluster", "label").agg(F.count("*").alias("c"))
         largest = written(counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "largest")
         state = written(state.join(largest, "cluster").select("key", "label", (F.col("label") != F.col("main")).alias("outside")), "states")
-        late = sets.filter("blocks > 1").join(state, "key")
+        late_blocks = F.ceil(F.col("members") / LATE_BLOCK).cast("int")
+        late = sets.filter("blocks > 1").drop("block", "blocks").join(state, "key").withColumn("blocks", late_blocks)
+        late = late.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
         outside = written(late.filter("outside"), "outside")
         if not outside.isEmpty():
-            few = written(outside.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 2 / BLOCK)).cast("int").alias("groups")), "outside-sizes")
+            few = written(outside.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / LATE_BLOCK)).cast("int").alias("groups")), "outside-sizes")
             every = late.join(few, "cluster").select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("from"), F.lit(False).alias("probe"), F.col("block").alias("to"))
             probes = outside.join(few, "cluster").withColumn("from", F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups")).cast("int"))
             probes = probes.select("*", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
