@@ -26,14 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables that this process has written, until they are discarded.
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Deletes the tables written so far. Results that were not stored elsewhere can't be read any more."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_of(df: DataFrame) -> Column:
     """All columns of ``df`` in one struct, so that names of our own can't clash with them."""
     return F.struct(*[df[f"`{c}`"] for c in df.columns])
