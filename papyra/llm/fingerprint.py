@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.shared import partitions, table
+from papyra.llm.shared import partitions, small_batches, table
 
 WINDOW, STRETCH, VOTES, FEW = 16, 32, 8, 64
 BITS, PER_FEATURE, PER_FILTER = 2048, 5, 160
@@ -181,6 +181,7 @@ def _in_order(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, see op1."""
+    small_batches(docs.sparkSession)
     parts = partitions(docs.sparkSession)
     rows = _in_order(docs, key, text, parts).repartitionById(parts, "part").sortWithinPartitions("part", "tail", "k", "t")
 

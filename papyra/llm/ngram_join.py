@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from papyra.llm.components import Forest, components
 
 from papyra.llm.piece_encode import slices
-from papyra.llm.shared import partitions, table, written
+from papyra.llm.shared import partitions, small_batches, table, written
 
-BLOCK, LATE_BLOCK, BLOOM_BITS = 64, 128, 26
+BLOCK, LATE_BLOCK, BLOOM_BITS = 64, 128, 25
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class Likeness:
 #: What the query's contract asks for, and what holds for near duplicates otherwise.
 CONTRACT, NEAR = Likeness(3, 90, 100), Likeness(5, 80, 100)
 #: Parts of at most so many grams are counted: signatures that more sets than these bounds have are common, by degrees.
-FEW, COMMON = 3, (2, 8, 64, 512, 4096)
+FEW, COMMON = 3, (2, 12, 128, 2048)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
@@ -66,7 +66,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that are worked on together: each takes some hundred bytes of memory.
-TOGETHER, SEEN = 300_000, 200_000
+TOGETHER, SEEN = 100_000, 50_000
 
 
 @cache
@@ -435,6 +435,7 @@ def linked_sets(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
 
 def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Likeness = NEAR) -> DataFrame:
     """(doc_id, n_shingles, component_id), see op4."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     sets = written(keyed(docs, key, text, like), "sets")
     labels = linked_sets(docs, text, like)

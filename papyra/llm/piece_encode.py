@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.pieces import MODEL, SPACE, START, UNKNOWN, Pieces, load
-from papyra.llm.shared import table
+from papyra.llm.shared import small_batches, table
 
 GAP = 0xFF  # between pre-tokens; no byte of UTF-8
-BATCH_BYTES, KEPT_WORDS = 3_000_000, 500_000
+BATCH_BYTES, KEPT_WORDS = 2_000_000, 300_000
 
 
 def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
@@ -84,9 +84,9 @@ def occurrences(x: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
             hi[i] = base + np.searchsorted(part, np.uint64(int.from_bytes(w.ljust(8, b"\xff"), "big")), "right")
             skip += 8
     count = np.where(pieces.usable, np.maximum(hi - lo, 0), 0)
-    piece = np.repeat(np.arange(len(count)), count)
-    within = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-    return sa[np.repeat(lo, count) + within], piece
+    piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    within = np.arange(len(piece), dtype=np.int32) + np.repeat((lo - np.cumsum(count) + count).astype(np.int32), count)
+    return sa.astype(np.int32)[within], piece
 
 
 def relaxed(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +96,15 @@ def relaxed(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(b) for b in utf8], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
     start, piece = occurrences(x, pieces)
-    end = start + pieces.lengths[piece]
+    end = start + pieces.lengths.astype(np.int32)[piece]
     # Characters that no piece covers by itself.
     head = ((x & 0xC0) != 0x80) & (x != GAP)
     size = np.where(x < 0x80, 1, np.where(x < 0xE0, 2, np.where(x < 0xF0, 3, 4)))
     covered = np.zeros(len(x), dtype=bool)
     covered[start[end - start == size[start]]] = True
     lone = np.flatnonzero(head & ~covered)
-    start, end, piece = np.concatenate((start, lone)), np.concatenate((end, lone + size[lone])), np.concatenate((piece, np.full(len(lone), UNKNOWN)))
-    order = np.argsort(end * 64 + (63 - np.minimum(end - start, 63)))
+    start, end, piece = (np.concatenate(x).astype(np.int32) for x in ((start, lone), (end, lone + size[lone]), (piece, np.full(len(lone), UNKNOWN))))
+    order = np.argsort(end.astype(np.int64) * 64 + (63 - np.minimum(end - start, 63)))
     start, end, piece = start[order], end[order], piece[order]
     # Positions are gaps between bytes; position p of the text ends at p. All positions by their distance from the start.
     n = len(x) + 1
@@ -222,6 +222,7 @@ class Decoder:
 
 def encoded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids, intact): ids of each whole text, and whether decoding gave the text back."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(load(model))  # a vocabulary: its size is the model's, not the data's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

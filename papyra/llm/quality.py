@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.shared import table, written
+from papyra.llm.shared import small_batches, table, written
 
 #: Byte classes that are counted: upper case, digits, bars, exclamation marks, other symbols, sentence marks.
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"|", b"!", b"#$%&*@^~+=<>_\\/[]{}", b".,;:?")
@@ -93,6 +93,7 @@ def _statistics(text: pa.Array) -> pa.Array:
 
 def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, x) for each row."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("k"), _statistics(text).alias("x"))
 
 

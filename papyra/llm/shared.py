@@ -26,6 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of text in an Arrow batch: some megabytes, where the default of 10,000 would be tens of them for each task.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches have at most ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 #: Paths of the tables that this process has written, until they are discarded.
 WRITTEN: list[str] = []
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm.piece_encode import KEPT_WORDS, slices
 from papyra.llm.pieces import MODEL, START, UNKNOWN, Pieces, load
-from papyra.llm.shared import table
+from papyra.llm.shared import small_batches, table
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 50_000  # pre-tokens in one trie
@@ -148,6 +148,7 @@ class Counter:
 
 def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, n_pretokens, n_chars) of each whole text."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(load(model))  # a vocabulary: its size is the model's, not the data's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,7 +62,7 @@ def test_large_groups_of_near_copies_are_cut_into_blocks(spark):
 @pytest.mark.parametrize("like", [nj.CONTRACT, nj.NEAR])
 def test_links_always_share_a_signature(like):
     r = np.random.default_rng(7)
-    some = [[np.where(r.random(1 << 23) < share, 255, 0).astype(np.uint8) for _ in range(2)] for share in (0.3, 0.9)]
+    some = [[np.where(r.random(1 << (nj.BLOOM_BITS - 3)) < share, 255, 0).astype(np.uint8) for _ in range(2)] for share in (0.3, 0.9)]
     for size in (1, 2, 5, 9, 10, 23, 60, 200, 700):
         for _ in range(20):
             x = r.integers(0, 2**63, size * 2).astype(np.uint64)
