@@ -35,7 +35,7 @@ from papyra.llm.components import Forest, components
 from papyra.llm.piece_encode import slices
 from papyra.llm.shared import partitions, small_batches, table, written
 
-BLOCK, LATE_BLOCK, BLOOM_BITS = 64, 128, 25
+BLOCK, LATE_BLOCK, BLOOM_BITS = 64, 512, 25
 
 
 @dataclass(frozen=True)
