@@ -1,19 +1,20 @@
-"""Vector search over ``embeddings``: labels stand for books, vectors below 10 for questions."""
+"""Vector search over ``embeddings``: labels stand for books, vectors below 10 for questions; in the queries ``*_whole``, which
+grow with the table, every vector whose id is divisible by 100."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from papyra.operators import vector as v
-from papyra.plans.registry import query
+from papyra.plans.registry import query, sql_with
 
 _SCORES = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS own FROM embeddings WHERE vec_id < 10),
 s AS (SELECT query_id, own, label AS grp, vec_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM q, embeddings)"""
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
 
 
-def _questions(t, group: bool = False):
-    e = t("embeddings").filter("vec_id < 10")
+def _questions(t, group: bool = False, which: str = "vec_id < 10"):
+    e = t("embeddings").filter(which)
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), *([F.col("label").alias("group")] if group else []))
 
 
@@ -58,6 +59,40 @@ def _(t):
     return v.reranked(hits, rerank, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+_MANY = "vec_id % 100 = 0"
+
+
+def _whole(name):
+    return query(f"{name}_whole", sql_with(name, "vec_id < 10", _MANY))
+
+
+@_whole("vector_topk")
+def _(t):
+    return _out(v.top_in_blocks(_questions(t, which=_MANY), _chunks(t), 5))
+
+
+@_whole("vector_topk_filtered")
+def _(t):
+    return _out(v.top_in_blocks(_questions(t, True, _MANY), _chunks(t), 5))
+
+
+@_whole("vector_vote_search")
+def _(t):
+    return _out(v.vote_search_in_blocks(_questions(t, which=_MANY), _chunks(t), gate=0.1))
+
+
+@_whole("cosine_gate")
+def _(t):
+    return v.near_counts(_questions(t, which=_MANY), _chunks(t), 0.3)
+
+
+@_whole("rerank_fallback")
+def _(t):
+    hits = v.top_in_blocks(_questions(t, which=_MANY), _chunks(t), 20)
+    rerank = F.when(F.col("vec_id") % 3 != 0, F.lit(1.0) / (1 + F.col("vec_id")))
+    return v.reranked(hits, rerank, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("embed_stub")
 def _(t):
     from papyra.functions.embed import embed_of
