@@ -9,7 +9,7 @@ from papyra.operators import relational as r
 from papyra.operators import temporal as tm
 from papyra.operators import upsert as up
 from papyra.plans.analogues import EDGES, SNAPSHOTS, edges, snapshots
-from papyra.plans.registry import query
+from papyra.plans.registry import query, sql_with
 
 count = lambda: F.count("*").cast("long")
 #: Intervals: an edge of some kind runs from its first to its last chapter; those of the last chapter are open.
@@ -44,6 +44,11 @@ def _(t):
     return intervals(t).filter(tm.valid_at(23940)).filter("source < 20 or target < 3")
 
 
+@query("interval_valid_at_whole", sql_with("interval_valid_at", " AND (source < 20 OR target < 3)", ""))
+def _(t):
+    return intervals(t).filter(tm.valid_at(23940))
+
+
 @query("event_support_anti", f"WITH {SNAPSHOTS}, f AS (SELECT entity, chapter, status FROM (SELECT *, lag(status) OVER (PARTITION BY entity ORDER BY chapter) AS before FROM snap) WHERE before <> status) SELECT f.entity, f.chapter FROM f WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = f.entity AND date_diff('day', DATE '2024-01-01', e.ts::DATE) = f.chapter AND (e.event_type = 'purchase' OR contains(e.props, '7')))")
 def _(t):
     changed = tm.flips(snapshots(t), ["entity"], ["chapter"], "status").select("entity", "chapter")

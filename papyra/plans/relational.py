@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from papyra.operators import relational as r
 from papyra.operators import temporal as tm
 from papyra.plans.analogues import EDGES, SNAPSHOTS, edges, snapshots
-from papyra.plans.registry import query
+from papyra.plans.registry import query, sql_with
 
 count = lambda: F.count("*").cast("long")
 
@@ -326,10 +326,19 @@ def _(t):
     return t("orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey", "o_orderdate")
 
 
+def _null_first(t):
+    d = t("documents").select("doc_id").join(t("labels").select("doc_id", "toxic"), "doc_id", "left")
+    return d.orderBy(F.asc_nulls_first("toxic"), "doc_id")
+
+
 @query("null_first_sort", "SELECT doc_id, toxic FROM (SELECT d.doc_id, l.toxic, row_number() OVER (ORDER BY l.toxic NULLS FIRST, d.doc_id) AS r FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE r <= 30")
 def _(t):
-    d = t("documents").select("doc_id").join(t("labels").select("doc_id", "toxic"), "doc_id", "left")
-    return d.orderBy(F.asc_nulls_first("toxic"), "doc_id").limit(30)
+    return _null_first(t).limit(30)
+
+
+@query("null_first_sort_whole", sql_with("null_first_sort", " WHERE r <= 30", " ORDER BY r"))
+def _(t):
+    return _null_first(t)
 
 
 @query("login_or_match", "SELECT c_custkey FROM customer WHERE c_name = 'Customer#000000007' OR c_custkey = 11")
@@ -344,9 +353,18 @@ def _(t):
 
 @query("job_detail", "SELECT o_orderkey, count(l_orderkey) AS chapters, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag), '') AS states FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 50 GROUP BY o_orderkey")
 def _(t):
+    return _details(t, t("orders").filter("o_custkey < 50"))
+
+
+@query("job_detail_whole", sql_with("job_detail", " WHERE o_custkey < 50", ""))
+def _(t):
+    return _details(t, t("orders"))
+
+
+def _details(t, orders):
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(count().alias("chapters"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("s"))
     lines = lines.withColumn("states", F.array_join(F.transform("s", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["l_returnflag"])), ","))
-    return t("orders").filter("o_custkey < 50").select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("chapters", F.lit(0)).alias("chapters"), F.coalesce("states", F.lit("")).alias("states"))
+    return orders.select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("chapters", F.lit(0)).alias("chapters"), F.coalesce("states", F.lit("")).alias("states"))
 
 
 @query("history_by_key", "SELECT turn, role, text FROM conversations WHERE conv_id = 3 ORDER BY turn")
@@ -361,4 +379,13 @@ def _(t):
 
 @query("month_format", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS uploaded FROM orders WHERE o_orderkey < 200")
 def _(t):
-    return t("orders").filter("o_orderkey < 200").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("uploaded"))
+    return _uploaded(t("orders").filter("o_orderkey < 200"))
+
+
+@query("month_format_whole", sql_with("month_format", " WHERE o_orderkey < 200", ""))
+def _(t):
+    return _uploaded(t("orders"))
+
+
+def _uploaded(orders):
+    return orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("uploaded"))
