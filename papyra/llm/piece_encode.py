@@ -3,7 +3,7 @@
 The distinct pre-tokens of a batch, put one after the other, are indexed by a suffix array (prefix doubling, to the length of
 the longest piece). Every piece of the vocabulary is found in it by binary search: a range of the array, its occurrences, each
 an edge from its first byte to its end. The edges are sorted by end position, longest first, and relaxed position by position
-for all pre-tokens at once. A character that no piece covers is an edge of its own and becomes its bytes' ids. A document's ids
+for all pre-tokens at once; a pre-token of more than ``LONG`` bytes edge by edge. A character that no piece covers is an edge of its own and becomes its bytes' ids. A document's ids
 are its pre-tokens' ids in a row; decoding puts the pieces together again.
 
 Edges: a null text has null ids (and null decoded text), an empty one no ids. Decoding gives the text back exactly, but for
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.pieces import MODEL, SPACE, START, UNKNOWN, Pieces, load
+from papyra.llm.pieces import LONG, MODEL, SPACE, START, UNKNOWN, Pieces, load
 from papyra.llm.shared import small_batches, table
 
 GAP = 0xFF  # between pre-tokens; no byte of UTF-8
@@ -111,7 +111,10 @@ def relaxed(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(end, np.arange(n))
     count = np.diff(np.append(first, len(end)))
     origin = np.repeat(starts, lengths + 1)
+    large = np.flatnonzero(lengths > LONG)
     places = np.flatnonzero(count)
+    if len(large):
+        places = places[np.repeat(lengths <= LONG, lengths + 1)[places - 1]]
     far = places - origin[places - 1]
     places = places[np.argsort(far, kind="stable")]
     cuts = np.concatenate(([0], np.cumsum(np.bincount(far))))[1:] if len(far) else np.array([0])
@@ -142,9 +145,22 @@ def relaxed(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
             todo = todo[~good]
             k += 1
     ends = starts + lengths
+    long_ids: dict[int, np.ndarray] = {}
+    for i in large.tolist():
+        begin, stop = int(starts[i]), int(ends[i])
+        lo, hi = int(first[begin + 1]), int(first[stop] + count[stop])
+        pace = range(lo, hi, 1 << 16)
+        lists = ((e, min(e + (1 << 16), hi)) for e in pace)
+        final = np.append(end[lo + 1 : hi] != end[lo : hi - 1], True) if hi > lo else np.zeros(0, dtype=bool)
+        edges = chain.from_iterable(zip((start[a:b] - begin).tolist(), (end[a:b] - begin).tolist(), piece[a:b].tolist(), final[a - lo : b - lo].tolist()) for a, b in lists)
+        long_ids[i] = _ids_of(*pieces.path(edges, stop - begin), x[begin:stop], pieces)
+        tokens[stop] = len(long_ids[i])
     offsets = np.concatenate(([0], np.cumsum(tokens[ends])))
     ids = np.empty(offsets[-1], dtype=np.int32)
     p, base = ends.copy(), offsets[:-1]
+    for i, some in long_ids.items():
+        ids[offsets[i] : offsets[i + 1]] = some
+        p[i] = starts[i]
     while True:
         live = p > starts
         if not live.any():
@@ -157,6 +173,18 @@ def relaxed(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         p[live] = back[q]
 
 
+def _ids_of(last: list[int], back: list[int], x: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """The ids of one long pre-token."""
+    at, out = len(x), []
+    while at > 0:
+        if last[at] == UNKNOWN:
+            out += pieces.byte_ids[x[back[at] : at]][::-1].tolist()
+        else:
+            out.append(int(pieces.ids[last[at]]))
+        at = back[at]
+    return np.array(out[::-1], dtype=np.int32)
+
+
 class Encoder:
     """Encodes texts, batch after batch, and keeps the encodings of pre-tokens seen (at most about ``KEPT_WORDS``)."""
 

@@ -12,7 +12,9 @@ the best sum, and BPE the one edge whose piece joins to the last piece of the en
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +24,9 @@ SPACE = "▁"
 #: Codes beside piece ids: the start of a pre-token, a character that only its bytes can stand for.
 START, UNKNOWN = -1, -2
 _FAR = np.int64(1) << 40
+#: Bytes from which a pre-token is relaxed by itself, edge by edge: side by side with others it would be a step a byte for all.
+LONG = 512
+PAIRS = 1_000_000  # pairs of pieces whose joining a worker keeps
 
 
 def _merges(text: str, rank: dict[str, int]) -> list[tuple[str, int, int]]:
@@ -95,6 +100,8 @@ class Pieces:
                 self.when[i] = max(self.rank[i], self.when[a], self.when[b])
         keys = np.array([a * len(self.text) + b for a, b in pairs], dtype=np.int64)
         at = np.argsort(keys)
+        self._known: dict[tuple[int, int], bool] = {}
+        self._made, self._ranks, self._whens = pairs, self.rank.tolist(), self.when.tolist()
         self.pair_keys, self.pair_made = keys[at], np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[at]
 
     def joins(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -124,9 +131,57 @@ class Pieces:
         return ok
 
     def distinct_joins(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(u * (len(self.text) + 2) + t, return_inverse=True)
-        x = (keys // (len(self.text) + 2)), (keys % (len(self.text) + 2))
-        return self.joins(x[0], x[1])[back]
+        """``joins``, once for each distinct pair. The codes go down to UNKNOWN, so both are counted from there."""
+        n = len(self.text) - UNKNOWN
+        keys, back = np.unique((u.astype(np.int64) - UNKNOWN) * n + (t - UNKNOWN), return_inverse=True)
+        return self.joins(keys // n + UNKNOWN, keys % n + UNKNOWN)[back]
+
+    def _one_joins(self, u: int, t: int) -> bool:
+        """``joins`` of a single pair."""
+        if u < 0 or t < 0:
+            return True
+        rank, when, made = self._ranks, self._whens, self._made
+        a, b = u, t
+        a_ends = b_ends = a_rank = b_rank = int(_FAR)
+        while True:
+            c = made.get((a, b), -1)
+            wa, wb = when[a], when[b]
+            if c >= 0:
+                r = rank[c]
+                w = max(r, wa, wb)
+                if (w, r) < (a_ends, a_rank) and (w < b_ends or (w == b_ends and r <= b_rank)):
+                    return False
+            if wa < 0 and wb < 0:
+                return True
+            if wa > wb:
+                a_ends, a_rank, a = wa, rank[a], int(self.right[a])
+            else:
+                b_ends, b_rank, b = wb, rank[b], int(self.left[b])
+
+    def path(self, edges: Iterator[tuple[int, int, int, bool]], size: int) -> tuple[list[int], list[int]]:
+        """Relaxes the edges (start, end, piece, whether the last to its end) of one long pre-token of ``size`` bytes, by end
+        and the longest first. Returns, for each position, the last piece and where it starts (-1: no encoding ends there)."""
+        last, back = [START] * (size + 1), [-1] * (size + 1)
+        if self.kind == "unigram":
+            best, worst, scores = [-math.inf] * (size + 1), self.worst, self.scores.tolist()
+            best[0] = 0.0
+            for i, j, t, _ in edges:
+                s = best[i] + (worst if t == UNKNOWN else scores[t])
+                if s > best[j]:
+                    best[j], last[j], back[j] = s, t, i
+            return last, back
+        for i, j, t, final in edges:
+            if back[j] >= 0:
+                continue
+            u = last[i]
+            ok = final
+            if not ok and (ok := self._known.get((u, t))) is None:
+                if len(self._known) > PAIRS:
+                    self._known.clear()
+                ok = self._known[u, t] = self._one_joins(u, t)
+            if ok:
+                last[j], back[j] = t, i
+        return last, back
 
     def pretokens(self, text: str) -> list[str]:
         if not text:

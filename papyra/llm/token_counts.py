@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.piece_encode import KEPT_WORDS, slices
-from papyra.llm.pieces import MODEL, START, UNKNOWN, Pieces, load
+from papyra.llm.pieces import LONG, MODEL, START, UNKNOWN, Pieces, load
 from papyra.llm.shared import small_batches, table
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 CHUNK = 50_000  # pre-tokens in one trie
-LONG = 512  # bytes; longer pre-tokens have tries of their own, of few words
 
 
 def _powers(n: int) -> np.ndarray:
@@ -53,11 +53,48 @@ def counted(words: list[str], pieces: Pieces, lookup: Lookup) -> np.ndarray:
     back = sorted(range(len(words)), key=utf8.__getitem__)
     out = np.zeros(len(words), dtype=np.int64)
     short = [i for i in back if len(utf8[i]) <= LONG]
-    for part in [short[i : i + CHUNK] for i in range(0, len(short), CHUNK)] + [[i] for i in back if len(utf8[i]) > LONG]:
+    for part in [short[i : i + CHUNK] for i in range(0, len(short), CHUNK)]:
         out[part] = _trie([utf8[i] for i in part], pieces, lookup)
+    for i in back:
+        if len(utf8[i]) > LONG:
+            out[i] = _chain(utf8[i], pieces, lookup)
     return out
 
 
+def _chain(word: bytes, pieces: Pieces, lookup: Lookup) -> int:
+    """A trie of one long pre-token is a chain: all its nodes' hashes are known at once, and so are the pieces that end there."""
+    x = np.frombuffer(word, dtype=np.uint8)
+    n = len(x)
+    power, inverse = _powers(n), np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, _INVERSE, dtype=np.uint64))))
+    # h[j] - h[i] * base ** (j - i), with h as in the trie: from sums of (x + 1) / base ** k.
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * inverse[1:])))
+    starts, ends, which = [], [], []
+    head = np.flatnonzero((x & 0xC0) != 0x80)
+    size = np.where(x < 0x80, 1, np.where(x < 0xE0, 2, np.where(x < 0xF0, 3, 4)))[head]
+    lone = np.ones(len(head), dtype=bool)
+    for length, (of, piece) in lookup.of.items():
+        i = head[head + length <= n]
+        h = (sums[i + length] - sums[i]) * power[i + length]
+        k = np.minimum(np.searchsorted(of, h), len(of) - 1)
+        hit = of[k] == h
+        starts.append(i[hit])
+        ends.append(i[hit] + length)
+        which.append(piece[k[hit]])
+        lone[: len(i)] &= ~(hit & (size[: len(i)] == length))
+    starts, ends, which = (np.concatenate(a).astype(np.int64) for a in ([*starts, head[lone]], [*ends, (head + size)[lone]], [*which, np.full(int(lone.sum()), UNKNOWN)]))
+    order = np.lexsort((starts, ends))
+    starts, ends, which = starts[order], ends[order], which[order]
+    final = np.append(ends[1:] != ends[:-1], True)
+    cuts = range(0, len(order), 1 << 16)
+    edges = chain.from_iterable(zip(*(a[c : c + (1 << 16)].tolist() for a in (starts, ends, which, final))) for c in cuts)
+    last, back = pieces.path(edges, n)
+    at, count = n, 0
+    while at > 0:
+        count += at - back[at] if last[at] == UNKNOWN else 1
+        at = back[at]
+    return count
+
+
 def _trie(words: list[bytes], pieces: Pieces, lookup: Lookup) -> np.ndarray:
     """words: sorted and distinct."""
     x = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8)

@@ -32,6 +32,52 @@ def test_ids_and_counts_are_the_librarys():
         assert got.tolist() == want and counts[k] == len(want)
 
 
+@needs_model
+def test_characters_outside_the_vocabulary_in_any_place():
+    import sentencepiece
+
+    lib, pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL), load()
+    r = random.Random(5)
+    assert pieces.distinct_joins(np.array([3, 3, -1, -2]), np.array([-2, -2, -2, 5])).all()
+    texts = ["the 鱻", "é龘", "漢字 龘", "hello 龘龘 world"]
+    for block in range(0x20, 0x20000, 0x80):  # some of each block of code points, behind and before words
+        some = [chr(c) for c in range(block, block + 0x80, 5) if not 0xD800 <= c < 0xE000]
+        texts += ["".join(r.choice(["the ", " of", "ab", "", "é", "漢", *some]) for _ in range(12)) + c for c in some[:6]]
+    offsets, ids = pe.Encoder(pieces)(texts)
+    counts, _ = tc.Counter(pieces)(texts)
+    for k, (t, want) in enumerate(zip(texts, lib.encode(texts))):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == want and counts[k] == len(want), t
+
+
+@needs_model
+def test_very_long_words_are_the_librarys():
+    import sentencepiece
+
+    lib, pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL), load()
+    r = random.Random(6)
+    texts = ["".join(r.choice(abc) for _ in range(n)) for abc in ("abcdefghij", "aeinrst", "ABCabc0123+/", "日本語漢字龘鱻é", "ab") for n in (505, 511, 513, 2000, 60_000)] + ["a" * 100_000, "hello" * 5000 + " and " + "y" * 700]
+    offsets, ids = pe.Encoder(pieces)(texts)
+    counts, _ = tc.Counter(pieces)(texts)
+    assert pe.Decoder(pieces)(offsets, ids) == texts
+    for k, (t, want) in enumerate(zip(texts, lib.encode(texts))):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == want and counts[k] == len(want), t[:20]
+
+
+def test_long_paths_of_a_unigram_model_are_as_good():
+    pieces = _unigram()
+    r = random.Random(7)
+    for n in (520, 700):
+        word = "".join(r.choice("abé") for _ in range(n))
+        whole = pe.relaxed([word], pieces)[1]
+        by_steps = [0.0] + [-np.inf] * n
+        scores = dict(zip(pieces.text, pieces.scores))
+        for j in range(1, n + 1):
+            by_steps[j] = max(by_steps[i] + scores.get(word[i:j], -np.inf) for i in range(max(0, j - 3), j))
+        of_id = dict(zip(pieces.ids.tolist(), pieces.scores.tolist()))
+        assert abs(sum(of_id[i] for i in whole.tolist()) - by_steps[n]) < 1e-6
+        assert tc.counted([word], pieces, tc.Lookup(pieces))[0] == len(whole)
+
+
 def _unigram():
     text = [" ", "a", "b", "ab", "aba", " a", "ba", "bb", " ab", "é"]
     return Pieces("unigram", text, np.arange(3, 3 + len(text)), np.array([-3.0, -2, -2.5, -3.1, -3.3, -3.2, -3.05, -4.9, -4, -2]), np.arange(100, 356))
