@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 
@@ -23,10 +24,25 @@ def test_magic_in_payloads_is_not_a_record(spark, tmp_path):
 def test_records_behind_damage_are_left_out():
     record = lambda n: warc.MAGIC.encode() + f"WARC-Record-ID: <urn:page:{n}>\r\nContent-Length: 4\r\n\r\n\r\n\r\n".encode() + b"\r\n\r\n"
     data = record(1) + record(2) + b"torn" + record(3)
-    found = list(warc.candidates(data))
-    on = warc.reachable(np.array([c["at"] for c in found]), np.array([c["next"] for c in found]))
-    assert [c["page_id"] for c, o in zip(found, on) if o] == [1, 2] and len(found) == 3
-    assert list(warc.candidates(data[: len(record(1)) - 3])) == [] and len(warc.reachable(np.zeros(0, int), np.zeros(0, int))) == 0
+    at, begin, to = warc.candidates(data)
+    assert len(at) == 3 and warc.reachable(at, to).tolist() == [True, True, False]
+    assert [r["page_id"] for r in warc.records(data)] == [1, 2]
+    assert list(warc.records(data[: len(record(1)) - 3])) == [] and len(warc.reachable(np.zeros(0, int), np.zeros(0, int))) == 0
+    bare = lambda length: warc.MAGIC.encode() + b"Content-Length: " + length + b"\r\n\r\n"
+    assert list(warc.records(bare(b"abc") + b"\r\n\r\n")) == list(warc.records(bare(b"9" * 5000) + b"\r\n\r\n")) == []
+    assert len(list(warc.records(bare(b"0") + b"\r\n\r\n"))) == 1
+    assert [warc._id(v) for v in (b"<urn:page:->", b"<urn:page:>", b"<urn:page:99999999999999999999>", b"<urn:page:9999999999999999999>", b"<urn:page:-7>")] == [None] * 4 + [-7]
+
+
+def test_hostile_payloads_and_large_pages(spark, tmp_path):
+    fake = lambda kind, n, length: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Length: {length}\r\n\r\nContent-Length: abc\r\n\r\n\r\n\r\n"
+    html = [fake("revisit", 1, "abc"), fake("revisit", 2, "23"), fake("response", 3, "9" * 5000), fake("revisit", "-", "23"), fake("revisit", "9" * 30, "23"), warc.MAGIC * 100_000, "\r\n" * 300_000, "x" * 3_000_000]
+    pages = spark.createDataFrame([(i, "http://a/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    warc.write_archives(pages, f"{tmp_path}/h")
+    begun = time.time()
+    got = sorted(map(tuple, warc.read_archives(spark, f"{tmp_path}/h").collect()))
+    assert got == [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "response", None) for i, h in enumerate(html)]
+    assert time.time() - begun < 30
 
 
 def test_long_chains():
