@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.shared import written
+from papyra.llm.shared import alike, release, written
 
 
 class Forest:
@@ -42,13 +42,20 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([self.root(v) for v in nodes], pa.int64())], ["a", "b"])
 
 
+#: Nodes that a task holds before it passes on what it has.
+HELD = 300_000
+
+
 def contracted(edges: DataFrame) -> DataFrame:
-    """(a, b): what each task's edges connect, with one edge for each node at most."""
+    """(a, b): what each task's edges connect, with about one edge for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for batch in batches:
             forest.add(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+            if len(forest.up) > HELD:
+                yield forest.rows()
+                forest = Forest()
         yield forest.rows()
 
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
@@ -57,15 +64,22 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     """(node, label) for each node of the edges (a, b): label is its component's least node. All labels take their neighbours'
     least and then their label's label, so that chains halve in each round. First, tasks drop what their edges say twice;
-    and again, as fewer tasks then hold what is left."""
-    edges = written(contracted(written(contracted(edges), "edges-once")).filter("a <> b").distinct(), "edges")
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges-both")
+    and again, as fewer tasks then hold what is left. Each table goes when the next one is there."""
+
+    def then(next_: DataFrame, *gone: DataFrame) -> DataFrame:
+        release(*gone)
+        return next_
+
+    once = written(contracted(edges), "edges-once")
+    edges = then(written(contracted(once).filter("a <> b").distinct(), "edges"), once)
+    both = then(written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges-both"), edges)
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     for _ in range(most):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        near = written(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels-near")
+        near = then(written(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels-near"), labels)
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = written(near.join(jump, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")), "labels")
+        labels = then(written(near.join(jump, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")), "labels"), near)
         if labels.filter("moved").isEmpty():
-            return labels.select("node", "label")
+            release(both)
+            return alike(labels.select("node", "label"), labels)
     raise RuntimeError(f"components didn't settle in {most} rounds")

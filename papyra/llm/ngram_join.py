@@ -10,8 +10,9 @@ Which sets meet in a unit is settled without loss by pigeonhole. Linked sets of
 if the number space is cut into k = d + 1 + e parts, they have at least e + 1 parts in common, whole. Each set emits a
 signature for each part (its grams there), for its own class of sizes and the next smaller, but leaves out up to e parts that
 are common among strangers: empty ones, and small ones whose signature many documents have (counted over all). As all sets
-leave out the most common first, the least common part that two linked sets share is emitted by both. Sets with a common
-signature are candidates; components of candidates make units of at most ``BLOCK`` sets, and larger ones are cut into blocks: first all
+leave out the most common first, the least common part that two linked sets share is emitted by both. A task passes on each
+signature once for many texts, and connects the sets that have it itself, so that near copies don't make it hot. Sets with a common
+signature are candidates; components of candidates make units of at most ``BLOCK`` sets and ``GRAMS`` grams, and larger ones are cut into blocks: first all
 blocks against the first, then what is not yet in the largest part against all. Full sets travel only for candidates.
 
 Edges: a null text, or one without words, has an empty set and links with nothing; with fewer than n words the whole
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.components import Forest, components
-
+from papyra.llm.components import HELD, Forest, components
 from papyra.llm.piece_encode import slices
-from papyra.llm.shared import partitions, small_batches, table, written
+from papyra.llm.shared import WRITTEN, alike, discard, partitions, release, small_batches, table, written
 
-BLOCK, LATE_BLOCK, BLOOM_BITS = 64, 512, 25
+#: Sets and grams of a unit: a cluster of more is cut into blocks; in the late round, blocks and groups of probes.
+BLOCK, LATE_BLOCK, GRAMS = 64, 512, 400_000
+#: Signatures that a task holds to find those that it has twice; the bits of a Bloom filter, by the number of its keys, at least and at most.
+WINDOW, BLOOM_BITS = 500_000, (16, 28)
 
 
 @dataclass(frozen=True)
@@ -279,7 +282,24 @@ def common_signatures(docs: DataFrame, text: str, like: Likeness) -> list[np.nda
 
     least = COMMON[0]
     counts = written(docs.select(text).mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > least), "common")
-    return [_bloom(counts.filter(F.col("n") > c).select("key")) for c in COMMON]
+    blooms = [_bloom(counts.filter(F.col("n") > c).select("key")) for c in COMMON]
+    release(counts)
+    return blooms
+
+
+def met_here(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of some sets, each once: with the least of its sets, and the sets that share one connected by signatures of
+    their own (one for each component, numbered by its least set)."""
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    new = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, dtype=bool)
+    first = key[new][np.cumsum(new) - 1]
+    forest = Forest()
+    forest.add(first[first != key], key[first != key])
+    ties = forest.rows()
+    node, label = np.asarray(ties.column(0)), np.asarray(ties.column(1))
+    ends, hubs = np.concatenate((node, np.unique(label))), np.concatenate((label, np.unique(label)))
+    return np.concatenate((sig[new], _mixed(hubs.view(np.uint64) + np.uint64(3)).view(np.int64))), np.concatenate((key[new], ends))
 
 
 def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
@@ -290,6 +310,13 @@ def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task emit once
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def passed_on() -> pa.RecordBatch:
+            sig, key = met_here(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], ["sig", "key"])
+
         for b in batches:
             for _, t in slices(b.column(0), TOGETHER):
                 if len(seen) > SEEN:
@@ -299,7 +326,11 @@ def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
                 new = np.array([not (k in seen or seen.add(k)) for k in keys.tolist()], dtype=bool) & (np.diff(offsets) > 0)
                 of, sig, count, spare = signatures(offsets, grams, like)
                 keep = emitted(of, sig, count, spare, shipped.value) & new[of]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(keys[of[keep]])], ["sig", "key"])
+                held.append((sig[keep], keys[of[keep]]))
+                if sum(len(s) for s, _ in held) > WINDOW:
+                    yield passed_on()
+        if held:
+            yield passed_on()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None  # signature, its first set
@@ -314,15 +345,21 @@ def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
             some = first != key
             last = int(sig[-1]), int(first[-1])
             forest.add(first[some], key[some])
+            if len(forest.up) > HELD:
+                yield forest.rows()
+                forest = Forest()
         yield forest.rows()
 
     sigs = docs.select(text).mapInArrow(emit, "sig long, key long")
     return sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "key").mapInArrow(meet, "a long, b long")
 
 
-def _bloom(keys: DataFrame, bits: int = BLOOM_BITS, shard: int = 21) -> np.ndarray:
-    """A Bloom filter of the keys, of a fixed size: more keys only let more others pass. Places are dealt to shards of the
-    filter, and only the shards' bits come to the driver."""
+def _bloom(keys: DataFrame, shard: int = 21) -> np.ndarray:
+    """A Bloom filter of the keys (a table): of some 16 bits a key, but no more than ``BLOOM_BITS``, so what is broadcast is
+    bounded; more keys only let more others pass. Places are dealt to shards of the filter, and only the shards' bits come to
+    the driver."""
+    bits = int(np.clip((16 * keys.count()).bit_length(), *BLOOM_BITS))
+    shard = min(shard, bits)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,13 +380,13 @@ def _bloom(keys: DataFrame, bits: int = BLOOM_BITS, shard: int = 21) -> np.ndarr
 
 
 def _holds(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    p = _places(keys, BLOOM_BITS)
+    p = _places(keys, (8 * len(bloom)).bit_length() - 1)
     return ((bloom[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
     h = _mixed(keys.view(np.uint64))
-    return np.stack([(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 19, 38)], axis=1).astype(np.int64)
+    return np.stack([(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 18, 36)], axis=1).astype(np.int64)
 
 
 def candidate_sets(docs: DataFrame, text: str, members: DataFrame, like: Likeness) -> DataFrame:
@@ -373,7 +410,7 @@ def candidate_sets(docs: DataFrame, text: str, members: DataFrame, like: Likenes
     return written(found.join(members, "key"), "candidate-sets")
 
 
-def _unpacked(b: bytes) -> np.ndarray:
+def _unpacked(b: pa.Buffer) -> np.ndarray:
     x = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
     return np.concatenate((np.zeros((len(x), 2), dtype=np.uint8), x), axis=1).view(">u8").ravel().astype(np.uint64)
 
@@ -382,28 +419,38 @@ def unit_links(units: DataFrame, like: Likeness) -> DataFrame:
     """(a, b): links that connect the sets of each unit. units: (unit, probe, key, grams, known); sets of the same ``known``
     are connected already, and a pair has at least one probe."""
 
-    def run(group: pa.Table) -> pa.Table:
-        keys, probe, known = group["key"].to_pylist(), group["probe"].to_pylist(), group["known"].to_pylist()
-        sets = [np.unique(_unpacked(g)) for g in group["grams"].to_pylist()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, probe, known, sets = [], [], [], []
+        for b in batches:
+            for held, name in ((keys, "key"), (probe, "probe"), (known, "known")):
+                held += b.column(name).to_pylist()
+            sets += [np.unique(_unpacked(g.as_buffer())) for g in b.column("grams")]
         forest = Forest()
         first: dict[int, int] = {}
         for i, k in enumerate(known):
             forest.link(i, first.setdefault(k, i))
         made = tree_links(sets, [i for i, p in enumerate(probe) if p], forest, like)
-        return pa.table({"a": pa.array([keys[i] for i, _ in made], pa.int64()), "b": pa.array([keys[j] for _, j in made], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"a": pa.array([keys[i] for i, _ in made], pa.int64()), "b": pa.array([keys[j] for _, j in made], pa.int64())})
 
     return units.select("unit", "probe", "key", "grams", "known").groupBy("unit").applyInArrow(run, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
-    """(key, label) for each set that is linked with another: the components of links."""
-    clusters = components(written(candidate_edges(docs, text, like), "candidates")).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    # Blocks: numbered by a hash, so that no cluster is sorted in one task; about BLOCK / 2 sets each.
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") * 2 / BLOCK)).cast("int")
-    members = clusters.join(written(sizes, "cluster-sizes"), "cluster").withColumn("blocks", F.when(F.col("members") <= BLOCK, F.lit(1)).otherwise(blocks))
-    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    sets = candidate_sets(docs, text, members, like)
+def linked_sets(docs: DataFrame, text: str, like: Likeness, sized: DataFrame) -> DataFrame:
+    """(key, label) for each set that is linked with another: the components of links. sized: (key, n) of each set."""
+    edges = written(candidate_edges(docs, text, like), "candidates")
+    clusters = components(edges)
+    members = written(clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")).join(sized, "key"), "members")
+    release(edges, clusters)
+    sizes = written(members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("size")), "cluster-sizes")
+    # Blocks: numbered by a hash, so that no cluster is sorted in one task; about half of what a unit holds.
+    pieces = lambda count, size, most: F.greatest(F.lit(1), F.ceil(count / most), F.ceil(size / GRAMS)).cast("int")
+    count, size = F.col("members"), F.col("size")
+    blocks = F.when((count <= BLOCK) & (size <= GRAMS), F.lit(1)).otherwise(pieces(count * 2, size * 2, BLOCK))
+    members_ = members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members_ = written(members_.drop("n"), "members")
+    release(members, sizes)
+    sets = candidate_sets(docs, text, members_, like)
+    release(members_)
     # First round: each block with itself and the first block.
     own = sets.select("*", F.lit(True).alias("probe"), F.col("block").alias("to"))
     anchors = sets.filter("block = 0 and blocks > 1").select("*", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("to"))
@@ -417,20 +464,24 @@ def linked_sets(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
         counts = state.groupBy("cluster", "label").agg(F.count("*").alias("c"))
         largest = written(counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "largest")
         state = written(state.join(largest, "cluster").select("key", "label", (F.col("label") != F.col("main")).alias("outside")), "states")
-        late_blocks = F.ceil(F.col("members") / LATE_BLOCK).cast("int")
-        late = sets.filter("blocks > 1").drop("block", "blocks").join(state, "key").withColumn("blocks", late_blocks)
+        late = sets.filter("blocks > 1").drop("block", "blocks").join(state, "key").withColumn("blocks", pieces(count, size, LATE_BLOCK))
         late = late.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
         outside = written(late.filter("outside"), "outside")
         if not outside.isEmpty():
-            few = written(outside.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / LATE_BLOCK)).cast("int").alias("groups")), "outside-sizes")
+            groups = pieces(F.count("*"), F.sum(F.length("grams")) / 6, LATE_BLOCK)
+            few = written(outside.groupBy("cluster").agg(groups.alias("groups")), "outside-sizes")
             every = late.join(few, "cluster").select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("from"), F.lit(False).alias("probe"), F.col("block").alias("to"))
             probes = outside.join(few, "cluster").withColumn("from", F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups")).cast("int"))
             probes = probes.select("*", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
             unit = F.xxhash64("cluster", "from", "to").alias("unit")
             pairs = every.unionByName(probes).select(unit, "probe", "key", "grams", F.col("label").alias("known"))
-            links = links.unionByName(written(unit_links(pairs, like), "links-late"))
-            found = components(links)
-    return found.select(F.col("node").alias("key"), "label")
+            more = written(unit_links(pairs, like), "links-late")
+            release(found, few)
+            found = components(links.unionByName(more))
+            release(more)
+        release(state, largest, outside)
+    release(sets, links, large)
+    return alike(found.select(F.col("node").alias("key"), "label"), found)
 
 
 def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Likeness = NEAR) -> DataFrame:
@@ -438,11 +489,12 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Li
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     sets = written(keyed(docs, key, text, like), "sets")
-    labels = linked_sets(docs, text, like)
-    least = sets.filter("key is not null").groupBy("key").agg(F.min("k").alias("least"))
-    groups = least.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    least = written(sets.filter("key is not null").groupBy("key").agg(F.min("k").alias("least"), F.first("n").alias("n")), "least")
+    labels = linked_sets(docs, text, like, least.select("key", "n"))
+    groups = least.select("key", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     components_ = groups.groupBy("label").agg(F.min("least").alias("component_id"))
     of = written(groups.join(components_, "label").select("key", "component_id"), "components")
+    release(labels, least)
     rows = sets.filter("key is not null").join(of, "key").select("k", "n", "component_id")
     rows = rows.unionByName(sets.filter("key is null").select("k", "n", F.col("k").alias("component_id")))
     return rows.select(F.col("k").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
@@ -455,7 +507,9 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Likeness = NEAR) -> DataFrame:
     """``docs`` with one document of each component, that with the least id. Rows with the same id are one document here:
     it stays if any of its rows is to stay. Documents without an id stay."""
+    before = len(WRITTEN)
     members = joined(docs.select(key, text), key=key, text=text, like=like)
     gone = members.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays")
     gone = written(gone.select(F.col("doc_id").alias(key)), "gone")
+    discard(docs.sparkSession, before, (gone,))
     return docs.join(gone, key, "left_anti")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (as in tests) one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset, and Spark runs in one process (as in tests), one
+    of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="papyra-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -37,8 +42,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-#: Paths of the tables that this process has written, until they are discarded.
+#: Paths of the tables that this process has written, until they are discarded; and of the frames that read them.
 WRITTEN: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: While a table is written: its shuffles go when it is there, as no other plan reads them.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,15 +54,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession) -> None:
-    """Deletes the tables written so far. Results that were not stored elsewhere can't be read any more."""
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    before = {k: spark.conf.get(k, None) for k in _WHILE}
+    try:
+        for k, v in _WHILE.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return alike(spark.read.schema(df.schema).parquet(path), path)
+
+
+def alike(df: DataFrame, of: DataFrame | str) -> DataFrame:
+    """``df``, which reads the table of ``of``: releasing it releases that."""
+    _PATHS[df] = of if isinstance(of, str) else _PATHS[of]
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, when all that reads them is written."""
+    for t in tables:
+        if (path := _PATHS.get(t)) in WRITTEN:
+            WRITTEN.remove(path)
+            _delete(t.sparkSession, path)
+
+
+def discard(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables written since so many were there, ``but`` some. Results that were not stored elsewhere can't be read
+    any more."""
+    keep = {_PATHS[t] for t in but}
+    for path in [p for p in WRITTEN[since:] if p not in keep]:
+        WRITTEN.remove(path)
+        _delete(spark, path)
 
 
 def row_of(df: DataFrame) -> Column:

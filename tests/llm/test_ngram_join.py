@@ -62,7 +62,7 @@ def test_large_groups_of_near_copies_are_cut_into_blocks(spark):
 @pytest.mark.parametrize("like", [nj.CONTRACT, nj.NEAR])
 def test_links_always_share_a_signature(like):
     r = np.random.default_rng(7)
-    some = [[np.where(r.random(1 << (nj.BLOOM_BITS - 3)) < share, 255, 0).astype(np.uint8) for _ in range(2)] for share in (0.3, 0.9)]
+    some = [[np.where(r.random(1 << 17) < share, 255, 0).astype(np.uint8) for _ in range(2)] for share in (0.3, 0.9)]
     for size in (1, 2, 5, 9, 10, 23, 60, 200, 700):
         for _ in range(20):
             x = r.integers(0, 2**63, size * 2).astype(np.uint64)
@@ -78,6 +78,27 @@ def test_links_always_share_a_signature(like):
                     assert set(sig[keep & (of == 0)].tolist()) & set(sig[keep & (of == 1)].tolist())
 
 
+def test_signatures_that_meet_in_a_task_keep_all_connections():
+    r = np.random.default_rng(3)
+    sig, key = r.integers(0, 400, 600), r.integers(-100, 100, 600)
+    before, after = Forest(), Forest()
+    for forest, s, k in ((before, sig, key), (after, *nj.met_here(sig, key))):
+        first = {}
+        for x, y in zip(s.tolist(), k.tolist()):
+            forest.link(y, first.setdefault(x, y))
+    assert [before.root(k) for k in range(-100, 100)] == [after.root(k) for k in range(-100, 100)]
+    assert set(sig.tolist()) <= set(nj.met_here(sig, key)[0].tolist())
+
+
+def test_units_of_long_texts_are_cut_by_grams(spark, monkeypatch):
+    monkeypatch.setattr(nj, "GRAMS", 300)
+    monkeypatch.setattr(nj, "LATE_BLOCK", 8)
+    rows = _rows(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for like in (nj.CONTRACT, nj.NEAR):
+        assert sorted(map(tuple, nj.joined(docs, like=like).collect()), key=str) == least_ids(rows, like)
+
+
 def test_tree_links_are_the_pairs_that_link():
     r = np.random.default_rng(2)
     sets = [np.unique(r.choice(60, r.integers(1, 50), replace=False)).astype(np.uint64) for _ in range(40)] + [np.arange(40, dtype=np.uint64), np.arange(41, dtype=np.uint64), np.arange(1, 41, dtype=np.uint64)]
