@@ -12,8 +12,9 @@ signature for each part (its grams there), for its own class of sizes and the ne
 are common among strangers: empty ones, and small ones whose signature many documents have (counted over all). As all sets
 leave out the most common first, the least common part that two linked sets share is emitted by both. A task passes on each
 signature once for many texts, and connects the sets that have it itself, so that near copies don't make it hot. Sets with a common
-signature are candidates; components of candidates make units of at most ``BLOCK`` sets and ``GRAMS`` grams, and larger ones are cut into blocks: first all
-blocks against the first, then what is not yet in the largest part against all. Full sets travel only for candidates.
+signature are candidates; components of candidates make units of at most ``BLOCK`` sets and ``GRAMS`` grams, and larger ones are cut into blocks of
+one class of sizes: first all blocks against the first, then what is not yet in the largest part against all of like sizes. Full sets
+travel only for candidates.
 
 Edges: a null text, or one without words, has an empty set and links with nothing; with fewer than n words the whole
 sequence is the one gram; rows with the same id each get their row; a null id counts as a document, with a null id in its component
@@ -36,7 +37,7 @@ from papyra.llm.piece_encode import slices
 from papyra.llm.shared import WRITTEN, alike, discard, partitions, release, small_batches, table, written
 
 #: Sets and grams of a unit: a cluster of more is cut into blocks; in the late round, blocks and groups of probes.
-BLOCK, LATE_BLOCK, GRAMS = 64, 512, 400_000
+BLOCK, LATE_BLOCK, GRAMS = 64, 512, 1_000_000
 #: Signatures that a task holds to find those that it has twice; the bits of a Bloom filter, by the number of its keys, at least and at most.
 WINDOW, BLOOM_BITS = 500_000, (16, 28)
 
@@ -253,18 +254,21 @@ def tree_links(sets: list[np.ndarray], probes: list[int], forest: Forest, like:
     return made
 
 
-_KEYED = "k long, n long, key long"
+_KEYED = "k long, n long, key long, size_class int"
 
 
 def keyed(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
-    """(k, n, key) for each row: its set's size and number (null for an empty set)."""
+    """(k, n, key, size_class) for each row: its set's size, number (null for an empty set) and class of sizes: linked sets are
+    of one class or of neighbouring ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, t in slices(b.column(1), TOGETHER):
                 offsets, grams = gram_sets(t, like.words)
                 size = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(t)), pa.array(size), pa.array(set_keys(offsets, grams), mask=size == 0)], ["k", "n", "key"])
+                least = size_classes(1 << int(size.max(initial=1)).bit_length(), like)[0]
+                place = pa.array((np.searchsorted(least, size, side="right") - 1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(t)), pa.array(size), pa.array(set_keys(offsets, grams), mask=size == 0), place], ["k", "n", "key", "size_class"])
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _KEYED)
 
@@ -299,7 +303,9 @@ def met_here(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ties = forest.rows()
     node, label = np.asarray(ties.column(0)), np.asarray(ties.column(1))
     ends, hubs = np.concatenate((node, np.unique(label))), np.concatenate((label, np.unique(label)))
-    return np.concatenate((sig[new], _mixed(hubs.view(np.uint64) + np.uint64(3)).view(np.int64))), np.concatenate((key[new], ends))
+    sig, key = np.concatenate((sig[new], _mixed(hubs.view(np.uint64) + np.uint64(3)).view(np.int64))), np.concatenate((key[new], ends))
+    order = np.argsort(key, kind="stable")  # equal numbers side by side are small when compressed
+    return sig[order], key[order]
 
 
 def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
@@ -436,51 +442,58 @@ def unit_links(units: DataFrame, like: Likeness) -> DataFrame:
 
 
 def linked_sets(docs: DataFrame, text: str, like: Likeness, sized: DataFrame) -> DataFrame:
-    """(key, label) for each set that is linked with another: the components of links. sized: (key, n) of each set."""
+    """(key, label) for each set that is linked with another: the components of links. sized: (key, n, size_class) of each set."""
     edges = written(candidate_edges(docs, text, like), "candidates")
     clusters = components(edges)
     members = written(clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")).join(sized, "key"), "members")
     release(edges, clusters)
-    sizes = written(members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("size")), "cluster-sizes")
-    # Blocks: numbered by a hash, so that no cluster is sorted in one task; about half of what a unit holds.
+    # Small clusters are one unit. Others are cut by size class, and classes into blocks, which are numbered by a hash, so that
+    # no cluster is sorted in one task; about half of what a unit holds.
     pieces = lambda count, size, most: F.greatest(F.lit(1), F.ceil(count / most), F.ceil(size / GRAMS)).cast("int")
-    count, size = F.col("members"), F.col("size")
-    blocks = F.when((count <= BLOCK) & (size <= GRAMS), F.lit(1)).otherwise(pieces(count * 2, size * 2, BLOCK))
-    members_ = members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    members_ = written(members_.drop("n"), "members")
-    release(members, sizes)
-    sets = candidate_sets(docs, text, members_, like)
-    release(members_)
-    # First round: each block with itself and the first block.
-    own = sets.select("*", F.lit(True).alias("probe"), F.col("block").alias("to"))
-    anchors = sets.filter("block = 0 and blocks > 1").select("*", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("to"))
-    unit = F.xxhash64("cluster", "to").alias("unit")
-    links = written(unit_links(own.unionByName(anchors).select(unit, "probe", "key", "grams", F.xxhash64("key").alias("known")), like), "links")
+    size = written(members.groupBy("cluster", "size_class").agg(F.count("*").alias("count"), F.sum("n").alias("grams")), "class-sizes")
+    whole = size.groupBy("cluster").agg(((F.sum("count") > BLOCK) | (F.sum("grams") > GRAMS)).alias("large"))
+    size = written(size.join(whole, "cluster").select("cluster", "size_class", "large", pieces(F.col("count") * 2, F.col("grams") * 2, BLOCK).alias("blocks"), pieces(F.col("count"), F.col("grams"), LATE_BLOCK).alias("late_blocks")), "class-blocks")
+    placed = members.join(size, ["cluster", "size_class"]).withColumn("block", F.when(F.col("large"), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).otherwise(F.lit(0)))
+    placed = written(placed.select("key", "cluster", "large", F.when(F.col("large"), F.col("size_class")).otherwise(F.lit(-1)).alias("size_class"), "block", "blocks", "late_blocks"), "placed")
+    release(members)
+    sets = candidate_sets(docs, text, placed, like)
+    release(placed)
+    # First round: each block with itself and the first block of its class; the first blocks of neighbouring classes.
+    own = sets.select("*", F.lit(True).alias("probe"), F.col("size_class").alias("to_class"), F.col("block").alias("to"))
+    first = sets.filter("block = 0 and large")
+    anchors = first.filter("blocks > 1").select("*", F.lit(False).alias("probe"), F.col("size_class").alias("to_class"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("to"))
+    above = first.select("*", F.lit(False).alias("probe"), (F.col("size_class") + 1).alias("to_class"), F.lit(0).alias("to"))
+    unit = F.xxhash64("cluster", "to_class", "to").alias("unit")
+    links = written(unit_links(own.unionByName(anchors).unionByName(above).select(unit, "probe", "key", "grams", F.xxhash64("key").alias("known")), like), "links")
     found = components(links)
-    # Second round, for clusters of several blocks: sets outside their cluster's largest component against all blocks.
-    large = written(sets.filter("blocks > 1").select("key", "cluster"), "large")
+    # Second round, for large clusters: sets outside their cluster's largest component against all of their class and its neighbours.
+    large = written(sets.filter("large").select("key", "cluster"), "large")
     if not large.isEmpty():
         state = large.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         counts = state.groupBy("cluster", "label").agg(F.count("*").alias("c"))
         largest = written(counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "largest")
         state = written(state.join(largest, "cluster").select("key", "label", (F.col("label") != F.col("main")).alias("outside")), "states")
-        late = sets.filter("blocks > 1").drop("block", "blocks").join(state, "key").withColumn("blocks", pieces(count, size, LATE_BLOCK))
-        late = late.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
+        late = sets.filter("large").select("key", "cluster", "size_class", "grams", "late_blocks").join(state, "key")
+        late = late.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("late_blocks")).cast("int"))
         outside = written(late.filter("outside"), "outside")
         if not outside.isEmpty():
             groups = pieces(F.count("*"), F.sum(F.length("grams")) / 6, LATE_BLOCK)
-            few = written(outside.groupBy("cluster").agg(groups.alias("groups")), "outside-sizes")
-            every = late.join(few, "cluster").select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("from"), F.lit(False).alias("probe"), F.col("block").alias("to"))
-            probes = outside.join(few, "cluster").withColumn("from", F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups")).cast("int"))
-            probes = probes.select("*", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
-            unit = F.xxhash64("cluster", "from", "to").alias("unit")
+            few = written(outside.groupBy("cluster", "size_class").agg(groups.alias("groups")), "outside-sizes")
+            near = F.explode(F.array(*[(F.col("size_class") + i).cast("int") for i in (-1, 0, 1)]))
+            upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            every = late.withColumn("from_class", near).join(few.withColumnRenamed("size_class", "from_class"), ["cluster", "from_class"])
+            every = every.select("cluster", "from_class", upto("groups").alias("from"), F.col("size_class").alias("to_class"), F.col("block").alias("to"), F.lit(False).alias("probe"), "key", "grams", "label")
+            probes = outside.drop("late_blocks", "block").join(few, ["cluster", "size_class"]).withColumn("from", F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups")).cast("int")).withColumn("to_class", near)
+            probes = probes.join(size.filter("large").select("cluster", F.col("size_class").alias("to_class"), "late_blocks"), ["cluster", "to_class"])
+            probes = probes.select("cluster", F.col("size_class").alias("from_class"), "from", "to_class", upto("late_blocks").alias("to"), F.lit(True).alias("probe"), "key", "grams", "label")
+            unit = F.xxhash64("cluster", "from_class", "from", "to_class", "to").alias("unit")
             pairs = every.unionByName(probes).select(unit, "probe", "key", "grams", F.col("label").alias("known"))
             more = written(unit_links(pairs, like), "links-late")
             release(found, few)
             found = components(links.unionByName(more))
             release(more)
         release(state, largest, outside)
-    release(sets, links, large)
+    release(sets, links, large, size)
     return alike(found.select(F.col("node").alias("key"), "label"), found)
 
 
@@ -489,8 +502,8 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Li
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     sets = written(keyed(docs, key, text, like), "sets")
-    least = written(sets.filter("key is not null").groupBy("key").agg(F.min("k").alias("least"), F.first("n").alias("n")), "least")
-    labels = linked_sets(docs, text, like, least.select("key", "n"))
+    least = written(sets.filter("key is not null").groupBy("key").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("size_class").alias("size_class")), "least")
+    labels = linked_sets(docs, text, like, least.select("key", "n", "size_class"))
     groups = least.select("key", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     components_ = groups.groupBy("label").agg(F.min("least").alias("component_id"))
     of = written(groups.join(components_, "label").select("key", "component_id"), "components")
