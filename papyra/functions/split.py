@@ -7,6 +7,7 @@ Markdown is read in a subset: ATX and setext headings, fences of backticks or ti
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -126,44 +127,35 @@ def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators: tup
     return [c for c in (x.strip() for x in out) if c]
 
 
+def _runs(sizes: list[int], room: int) -> Iterator[slice]:
+    """Neighbours taken together as long as their sizes fit in ``room``; what doesn't fit at all is a run by itself."""
+    upto = [0, *accumulate(sizes)]
+    i = 0
+    while i < len(sizes):
+        j = max(i + 1, bisect_right(upto, upto[i] + room) - 1)
+        yield slice(i, j)
+        i = j
+
+
 def by_lines(text: str, size: int = CHUNK) -> list[str]:
-    """Lines packed to parts of at most ``size``; only a longer line is cut."""
-    if len(text) <= size:
-        return [text]
-    out: list[str] = []
-    held: list[str] = []
-    room = size
-    for line in text.splitlines():
-        if held and len(line) + 1 > room:
-            out.append("\n".join(held))
-            held, room = [], size
-        if len(line) > size:
-            out += [line[i : i + size] for i in range(0, len(line), size)]
-        else:
-            held.append(line)
-            room -= len(line) + 1
-    return [*out, "\n".join(held)] if held else out
+    """Whole lines, with their ends, in parts of at most ``size``; only a line that is longer by itself is cut."""
+    lines = text.splitlines()
+    parts = ["\n".join(lines[r]) for r in _runs([len(x) + 1 for x in lines], size)] if len(text) > size else [text]
+    return [p[i : i + size] for p in parts for i in range(0, max(1, len(p)), size)] if len(text) > size else parts
+
+
+_RULED = re.compile(r"[|: -]*")
 
 
 def table_parts(text: str, size: int = CHUNK) -> list[str]:
-    """A table whole, or in groups of rows under a copy of its head."""
-    lines = text.splitlines()
-    if not lines:
-        return []
-    ruled = len(lines) > 1 and set(lines[1].replace(" ", "")) <= set("|:-")
-    rows = [r.rstrip() for r in lines[1 + ruled :]]
+    """A table whole, or its rows in parts of at most ``size``, each under a copy of its head (and of the rule below it)."""
+    first, *rows = text.splitlines() or [""]
+    head = [first] + (rows[:1] if rows and _RULED.fullmatch(rows[0]) else [])
+    rows = [r.rstrip() for r in rows[len(head) - 1 :]]
     if len(text) <= size or not rows:
-        return [text.strip("\n")]
-    head = "\n".join([lines[0].rstrip(), *lines[1 : 1 + ruled]])
-    groups: list[list[str]] = [[]]
-    length = len(head)
-    for r in rows:
-        if groups[-1] and length + len(r) + 1 > size:
-            groups.append([])
-            length = len(head)
-        groups[-1].append(r)
-        length += len(r) + 1
-    return ["\n".join([head, *g]) for g in groups]
+        return [text.strip("\n")] if text else []
+    top = "\n".join([first.rstrip(), *head[1:]])
+    return ["\n".join([top, *rows[r]]) for r in _runs([len(r) + 1 for r in rows], size - len(top))]
 
 
 def markdown_chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[dict]:
@@ -180,6 +172,14 @@ def markdown_chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> lis
     return out
 
 
+def by_type(text: str, kind: str, name: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[dict]:
+    """Chunks by type of file, numbered through the text: Markdown with headings by its structure; all else, and Markdown
+    without any, by chapters. Each with the title of its chapter (of Markdown, the headings above it)."""
+    marked = markdown_chunks(text, size, overlap) if kind.strip().lower() == ".md" and any(b["type"] == "heading" for b in blocks(text)) else []
+    found = [(p["path"], p["text"]) for p in marked] or [(c["title"], p) for c in chapters(text, name) for p in chunks(c["text"], size, overlap)]
+    return [{"title": t, "text": p, "chunk_index": i, "chunk_total": len(found), "chunk_size": len(p)} for i, (t, p) in enumerate(found)]
+
+
 def scenes(text: str, limit: int = SCENE) -> list[str]:
     """The text whole, or its paragraphs packed to scenes; longer paragraphs by sentences, longer sentences cut."""
     if len(text) <= limit:
@@ -212,7 +212,7 @@ def _sentences(text: str, limit: int) -> list[str]:
 
 
 def _column(f: Callable, kind: T.DataType) -> Callable[..., Column]:
-    arrow = {"title": pa.string(), "text": pa.string(), "start": pa.int64(), "end": pa.int64(), "type": pa.string(), "path": pa.string(), "section": pa.int64(), "level": pa.int64(), "content": pa.string()}
+    arrow = {"title": pa.string(), "text": pa.string(), "start": pa.int64(), "end": pa.int64(), "type": pa.string(), "path": pa.string(), "section": pa.int64(), "level": pa.int64(), "content": pa.string(), "chunk_index": pa.int64(), "chunk_total": pa.int64(), "chunk_size": pa.int64()}
 
     def apply(*columns: Column) -> Column:
         @F.arrow_udf(T.ArrayType(kind))
@@ -236,6 +236,7 @@ markdown_chapters_of = _column(markdown_chapters, _struct(title=_S, text=_S, sta
 blocks_of = _column(blocks, _struct(type=_S, start=_L, end=_L, level=_L, title=_S, content=_S))
 markdown_chunks_of = _column(markdown_chunks, _struct(type=_S, path=_S, section=_L, text=_S))
 chunks_of = _column(chunks, _S)
+by_type_of = _column(by_type, _struct(title=_S, text=_S, chunk_index=_L, chunk_total=_L, chunk_size=_L))
 scenes_of = _column(scenes, _S)
 
 
