@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.text import EMAIL, PHONE
+
 #: kind of filter -> condition on a column
 KINDS = {
     "like": lambda c, v: c.like(f"%{v}%"),
@@ -53,6 +55,31 @@ def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[C
     return df.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
 
 
+def any_name(names: Sequence[str], *columns: str) -> Column:
+    """One of the names stands in one of the columns; without names, all rows are meant."""
+    return any_of([KINDS["like"](F.col(c), n) for n in names for c in columns]) if names else F.lit(True)
+
+
+def numbered(df: DataFrame, key: str, order: str, width: int = 1 << 16) -> DataFrame:
+    """Rows numbered from 1 within each key, in the order of a whole number that is unique in it. Each key is cut into ranges
+    of ``width``, so that no key is sorted in one task; only the ranges' counts are added up by key."""
+    df = df.withColumn("__range", F.floor(F.col(order) / width))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(key, "__range").agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    within = F.row_number().over(Window.partitionBy(key, "__range").orderBy(order))
+    return df.withColumn("n", within).join(counts, [key, "__range"]).withColumn("n", F.col("n") + F.col("__before")).drop("__range", "__before")
+
+
+def registered(users: DataFrame, known: DataFrame) -> DataFrame:
+    """users (phone, email) with ``refused``: neither is given, one of them isn't well formed, or one is known already."""
+    phone, email = F.col("phone"), F.col("email")
+    out = users
+    for c in ("phone", "email"):
+        out = out.join(known.filter(F.col(c).isNotNull()).select(c).distinct().withColumn(f"__{c}", F.lit(True)), c, "left")
+    why = F.when(phone.isNull() & email.isNull(), "none").when(~phone.rlike(PHONE), "phone").when(~email.rlike(EMAIL), "email").when(F.col("__phone") | F.col("__email"), "taken")
+    return out.withColumn("refused", why).drop("__phone", "__email")
+
+
 def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

@@ -150,6 +150,24 @@ def uploaded(documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFr
     return rows.filter(~gone).select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns]), rows.filter(gone).select("user_id", "file_name")
 
 
-def upload_refusal(name: Column, size: Column, extensions: tuple[str, ...] = ("txt", "md", "pdf", "docx")) -> Column:
+def upload_refusal(name: Column, size: Column, extensions: tuple[str, ...] = ("txt", "md", "pdf")) -> Column:
     """Why a file isn't taken; null: it is."""
     return F.when(F.coalesce(F.trim(name), F.lit("")) == "", "no name").when(~F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1)).isin(*extensions), "extension").when(F.coalesce(size, F.lit(0)) == 0, "empty")
+
+
+FEEDBACK_TEXT = 500
+
+
+def with_feedback(messages: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, codes): feedback (id, user_id, feedback, feedback_text) overwrites what a message had: 404 without such a
+    message, 403 for another user's, 400 for a value that isn't up or down or a text that is too long, else 200; the first
+    that holds counts. Of several for a message, the one with the greatest values is taken. An empty text is none."""
+    own = messages.select("id", F.col("user_id").alias("__owner"))
+    rows = asked.join(own, "id", "left")
+    wrong = ~F.coalesce(F.col("feedback").isin("up", "down"), F.lit(False)) | (F.coalesce(F.length("feedback_text"), F.lit(0)) > FEEDBACK_TEXT)
+    code = F.when(F.col("__owner").isNull(), 404).when(F.col("__owner") != F.col("user_id"), 403).when(wrong, 400).otherwise(200)
+    rows = rows.withColumn("code", code)
+    taken = rows.filter("code = 200").groupBy("id").agg(F.max(F.struct("feedback", "feedback_text")).alias("__f"))
+    out = messages.join(taken, "id", "left")
+    new = {"feedback": F.coalesce("__f.feedback", "feedback"), "feedback_text": F.when(F.col("__f").isNotNull(), F.nullif("__f.feedback_text", F.lit(""))).otherwise(F.col("feedback_text"))}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in messages.columns]), rows.drop("__owner")

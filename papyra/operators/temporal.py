@@ -21,12 +21,11 @@ def as_of(df: DataFrame, key: Sequence[str], at: str, n: int, values: Sequence[s
 def as_of_rows(left: DataFrame, right: DataFrame, key: str, at: str, value: str, *, strict: bool = False) -> DataFrame:
     """For each row of left the value of right at the latest point not after (strict: before) its own, by one shuffle on the
     key: both sides in one order, the last value carried on."""
-    both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(None).cast("long").alias("__at"), F.lit(0 if strict else 1).alias("__left"))
-    other = right.select(key, at, F.col(value).alias("__v"), F.col(at).cast("long").alias("__at"), F.lit(1 if strict else 0).alias("__left"))
-    both = both.withColumn("__mine", F.lit(True)).unionByName(other.withColumn("__mine", F.lit(False)), allowMissingColumns=True)
+    other = right.select(key, at, F.struct(F.col(value).alias("v"), F.col(at).cast("long").alias("at")).alias("__r"), F.lit(1 if strict else 0).alias("__left"), F.lit(False).alias("__mine"))
+    both = left.withColumns({"__left": F.lit(0 if strict else 1), "__mine": F.lit(True)}).unionByName(other, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(at, "__left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn(f"asof_{value}", F.last("__v", ignorenulls=True).over(w)).withColumn(f"asof_{at}", F.last("__at", ignorenulls=True).over(w))
-    return out.filter("__mine").drop("__v", "__at", "__left", "__mine")
+    out = both.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).filter("__mine")  # rows of left have no __r of their own
+    return out.withColumns({f"asof_{value}": F.col("__r.v"), f"asof_{at}": F.col("__r.at")}).drop("__r", "__left", "__mine")
 
 
 def last_non_empty(c: str, key: Sequence[str], order: Sequence[str]) -> Column:
@@ -68,8 +67,9 @@ def relation_intervals(observed: DataFrame, pair: Sequence[str], kind: str, chap
 def merge_relations(stored: DataFrame, observed: DataFrame, chapter: int, pair: Sequence[str], kind: str, update: Sequence[str]) -> DataFrame:
     """One chapter's step of the same rules over stored intervals (end 0: open): kinds of observed pairs that are not seen
     again close at the chapter before; seen ones take the new attributes into their earliest open row, their other open rows
-    close; kinds without an open row open one. All else stays."""
-    types = observed.groupBy(*pair, kind).agg(F.count("*").alias("__n"), *[F.first(c).alias(f"new_{c}") for c in update]).drop("__n")
+    close; kinds without an open row open one. All else stays. Of a kind that is observed twice the greatest attributes count."""
+    types = observed.groupBy(*pair, kind).agg(F.max(F.struct(F.lit(0).alias("__n"), *update)).alias("__r"))
+    types = types.select(*pair, kind, *[F.col(f"__r.{c}").alias(f"new_{c}") for c in update])
     pairs = observed.select(*pair).distinct().withColumn("pair_seen", F.lit(True))
     is_open = F.col("end_chapter") == 0
     earliest = F.row_number().over(Window.partitionBy(*pair, kind, is_open).orderBy("start_chapter"))

@@ -20,16 +20,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def scored(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, group, vec_id, score) of each stated query (few, checked against the broadcast limit by Spark) with all
-    chunks; norms are worked out once for each side. queries: (query_id, q [, group]), chunks: (vec_id, v, group)."""
-    q = queries.withColumn("__nq", norm(F.col("q")))
-    v = chunks.withColumn("__nv", norm(F.col("v")))
-    both = v.crossJoin(q) if "group" not in queries.columns else v.join(q, "group")
-    size = F.col("__nq") * F.col("__nv")
-    return both.select("query_id", "group", "vec_id", F.when(size > 0, dot(F.col("q"), F.col("v")) / size).otherwise(0.0).alias("score"))
-
-
 def top(scores: DataFrame, k: int) -> DataFrame:
     """The k best of each query with their rank."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -67,7 +57,8 @@ def _scored_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def top_in_blocks(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """top(scored(queries, chunks), k) for many queries: each block of both sides gives its k best, of which the best remain."""
+    """The k best of each query (of its group, if it has one) with their rank. queries: (query_id, q [, group]), chunks:
+    (vec_id, v, group). Each block of both sides gives its k best, of which the best remain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for query_id, score, ids, groups in _scored_blocks(batches):
@@ -95,22 +86,15 @@ def vote(hits: DataFrame) -> DataFrame:
 
 def vote_search(queries: DataFrame, chunks: DataFrame, *, recall: int = 100, k: int = 5, gate: float = 0.0) -> DataFrame:
     """Two steps: a wide search votes for a group, then the best of that group. gate: least score, none at 0 or below."""
-    wide = scored(queries, chunks)
-    chosen = vote(top(wide, recall))
-    best = top(wide.join(chosen, ["query_id", "group"], "left_semi"), k)
-    return best.filter(F.col("score") >= gate) if gate > 0 else best
-
-
-def vote_search_in_blocks(queries: DataFrame, chunks: DataFrame, *, recall: int = 100, k: int = 5, gate: float = 0.0) -> DataFrame:
-    """vote_search for many queries."""
     best = top_in_blocks(queries.join(vote(top_in_blocks(queries, chunks, recall)), "query_id"), chunks, k)
     return best.filter(F.col("score") >= gate) if gate > 0 else best
 
 
 def not_near(incoming: DataFrame, stored: DataFrame, most: float = 0.95) -> DataFrame:
-    """(vec_id, group) of incoming vectors whose nearest stored one of their group isn't nearer than ``most``."""
-    pairs = incoming.select("vec_id", "group", F.col("v").alias("a"), norm(F.col("v")).alias("na")).join(stored.select("group", F.col("v").alias("b"), norm(F.col("v")).alias("nb")), "group")
-    near = pairs.filter(dot(F.col("a"), F.col("b")) > F.lit(most) * F.col("na") * F.col("nb")).select("vec_id").distinct()
+    """(vec_id, group) of incoming vectors whose nearest stored one of their group isn't nearer than ``most``: in blocks of a
+    group's vectors with each other."""
+    queries = incoming.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "group")
+    near = near_counts(queries, stored, float(np.nextafter(most, 2))).select(F.col("query_id").alias("vec_id"))
     return incoming.select("vec_id", "group").join(near, "vec_id", "left_anti")
 
 

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from papyra.operators import graph as g
 from papyra.operators import relational as r
+from papyra.operators import review as rv
 from papyra.operators import temporal as tm
 from papyra.operators import upsert as up
 from papyra.plans.analogues import EDGES, SNAPSHOTS, edges, snapshots
-from papyra.plans.registry import query, sql_with
+from papyra.plans.registry import query
+from papyra.plans.story_tables import sql as story_sql
+from papyra.plans.story_tables import story
+from papyra.session import shared_folder
 
 count = lambda: F.count("*").cast("long")
 #: Intervals: an edge of some kind runs from its first to its last chapter; those of the last chapter are open.
@@ -39,14 +43,9 @@ def _(t):
     return tm.as_of_rows(left, snapshots(t).select("entity", "chapter", "status"), "entity", "chapter", "status", strict=True).select("event_id", "asof_status")
 
 
-@query("interval_valid_at", f"WITH {INTERVALS} SELECT source, target, kind, start_chapter, end_chapter FROM iv WHERE start_chapter <= 23940 AND (end_chapter IS NULL OR end_chapter = 0 OR end_chapter >= 23940) AND (source < 20 OR target < 3)")
+@query("interval_valid_at", f"WITH {INTERVALS} SELECT source, target, kind, start_chapter, end_chapter FROM iv WHERE start_chapter <= 23985 AND (end_chapter IS NULL OR end_chapter = 0 OR end_chapter >= 23985)")
 def _(t):
-    return intervals(t).filter(tm.valid_at(23940)).filter("source < 20 or target < 3")
-
-
-@query("interval_valid_at_whole", sql_with("interval_valid_at", " AND (source < 20 OR target < 3)", ""))
-def _(t):
-    return intervals(t).filter(tm.valid_at(23940))
+    return intervals(t).filter(tm.valid_at(23985))
 
 
 @query("event_support_anti", f"WITH {SNAPSHOTS}, f AS (SELECT entity, chapter, status FROM (SELECT *, lag(status) OVER (PARTITION BY entity ORDER BY chapter) AS before FROM snap) WHERE before <> status) SELECT f.entity, f.chapter FROM f WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = f.entity AND date_diff('day', DATE '2024-01-01', e.ts::DATE) = f.chapter AND (e.event_type = 'purchase' OR contains(e.props, '7')))")
@@ -174,9 +173,21 @@ def _(t):
     return d.select("doc_id", ((F.col("frag") == "") | F.contains("text", "frag")).alias("anchored"))
 
 
-@query("graph_one_hop", f"WITH {INTERVALS} SELECT source, target, kind, start_chapter FROM iv WHERE (source = 7 OR target = 7) AND start_chapter <= 23950 AND (end_chapter = 0 OR end_chapter >= 23950) ORDER BY start_chapter, source, target, kind LIMIT 100")
+def _hop_sql(n: int) -> str:
+    """Edges in their order, as long as fewer than n nodes and n edges stand before."""
+    return f"""WITH {INTERVALS}, o AS (SELECT source, target, kind, start_chapter, CASE WHEN source = 7 THEN target ELSE source END AS other, row_number() OVER (ORDER BY start_chapter, source, target, kind) AS r FROM iv
+      WHERE (source = 7 OR target = 7) AND start_chapter <= 23990 AND (end_chapter = 0 OR end_chapter >= 23990)), f AS (SELECT *, (other <> 7 AND row_number() OVER (PARTITION BY other ORDER BY r) = 1)::INT AS fresh FROM o),
+      s AS (SELECT *, 1 + coalesce(sum(fresh) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM f) SELECT source, target, kind, start_chapter FROM s WHERE r <= {n} AND seen < {n}"""
+
+
+@query("graph_one_hop", _hop_sql(100))
 def _(t):
-    return g.one_hop(intervals(t), 7, 23950)[1].select("source", "target", "kind", "start_chapter")
+    return g.one_hop(intervals(t), 7, 23990)[1].select("source", "target", "kind", "start_chapter")
+
+
+@query("graph_one_hop_capped", _hop_sql(6))
+def _(t):
+    return g.one_hop(intervals(t), 7, 23990, 6)[1].select("source", "target", "kind", "start_chapter")
 
 
 @query("layer_filter", f"WITH {EDGES}, n AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING') SELECT source, target, kind, chapter FROM edge WHERE source IN (SELECT node FROM n) AND target IN (SELECT node FROM n)")
@@ -190,11 +201,7 @@ def _(t):
     s = t("supplier").select("s_suppkey", "s_nationkey")
     names = s.select(F.col("s_suppkey").alias("record"), F.col("s_nationkey").cast("string").alias("name"))
     names = names.unionByName(s.select(F.col("s_suppkey").alias("record"), F.concat(F.lit("b"), F.floor(F.col("s_suppkey") / 7).cast("string")).alias("name")))
-    spark = names.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="papyra-"))
+    shared_folder(names.sparkSession)
     return g.alias_groups(names, lambda df: df.checkpoint())
 
 
@@ -213,9 +220,15 @@ def _(t):
     return top.unionByName(below.select((F.col("n_nationkey") + 100).alias("id"), F.concat_ws("/", "above", "n_name").alias("path"), F.lit(2).alias("level")))
 
 
-@query("feedback_overwrite", "SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN 'rejected' WHEN turn % 2 = 0 THEN 'up' ELSE 'down' END AS feedback FROM conversations")
+@query("feedback_overwrite", f"WITH m AS {story_sql('messages')}, q AS (SELECT id + CASE WHEN id % 13 = 0 THEN 500 ELSE 0 END AS id, CASE WHEN id % 7 = 0 THEN 99 ELSE user_id END AS user_id, CASE WHEN id % 11 = 0 THEN 'maybe' WHEN id % 2 = 0 THEN 'up' ELSE 'down' END AS feedback, repeat('x', CAST(id % 520 AS INT)) AS tx FROM m) SELECT q.id, CASE WHEN m.id IS NULL THEN 404 WHEN m.user_id <> q.user_id THEN 403 WHEN q.feedback = 'maybe' OR length(tx) > 500 THEN 400 ELSE 200 END AS code FROM q LEFT JOIN m ON m.id = q.id")
 def _(t):
-    return t("conversations").select("conv_id", "turn", F.when(F.col("role") != "assistant", "rejected").when(F.col("turn") % 2 == 0, "up").otherwise("down").alias("feedback"))
+    m = story(t, "messages")
+    k = F.col("id")
+    asked = m.select(
+        (k + F.when(k % 13 == 0, 500).otherwise(0)).alias("id"), F.when(k % 7 == 0, 99).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(k % 11 == 0, "maybe").when(k % 2 == 0, "up").otherwise("down").alias("feedback"), F.repeat(F.lit("x"), (k % 520).cast("int")).alias("feedback_text"),
+    )
+    return rv.with_feedback(m, asked)[1].select("id", "code")
 
 
 @query("coalesced_channels", "SELECT user_id, min_by(event_type, event_id) FILTER (value > 40) AS first_set, count(*) AS n FROM events GROUP BY user_id")

@@ -11,12 +11,6 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def sql_with(name: str, part: str, other: str) -> str:
-    """The SQL of a query, with one part of it otherwise, for another query."""
-    assert part in ORACLE_SQL[name]
-    return ORACLE_SQL[name].replace(part, other)
-
-
 def query(name: str, sql: str | None = None) -> Callable[[Callable], Query]:
     """Registers f(t), where t(name) is a table, under ``name``."""
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from papyra.operators import relational as r
 from papyra.operators import temporal as tm
 from papyra.plans.analogues import EDGES, SNAPSHOTS, edges, snapshots
-from papyra.plans.registry import query, sql_with
+from papyra.plans.registry import query
+from papyra.plans.story_tables import sql, story
 
 count = lambda: F.count("*").cast("long")
 
@@ -61,11 +62,9 @@ def _(t):
     return t("orders").filter(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", "o_orderstatus")
 
 
-@query("names_or_like", "SELECT p_partkey FROM part WHERE p_name LIKE '%1%' OR p_name LIKE '%7%' OR p_type LIKE '%1%' OR p_type LIKE '%7%'")
+@query("names_or_like", "SELECT p_partkey FROM part WHERE p_name LIKE '%bolt%' OR p_name LIKE '%PROMO%' OR p_type LIKE '%bolt%' OR p_type LIKE '%PROMO%'")
 def _(t):
-    names = ["1", "7"]
-    hit = r.any_of([r.KINDS["like"](F.col(c), n) for n in names for c in ("p_name", "p_type")]) if names else F.lit(True)
-    return t("part").filter(hit).select("p_partkey")
+    return t("part").filter(r.any_name(["bolt", "PROMO"], "p_name", "p_type")).select("p_partkey")
 
 
 @query("default_for_falsy", "SELECT doc_id, CASE WHEN toxic IS NULL OR toxic = 0 THEN 9 ELSE toxic END AS level FROM labels")
@@ -78,14 +77,23 @@ def _(t):
     return t("conversations").filter("role <> 'system'").select("conv_id", "turn", F.when(F.col("role") == "user", "user").otherwise("ai").alias("speaker"))
 
 
-@query("identity_check", "SELECT count(*) AS n, sum((c_name LIKE 'C%')::BIGINT)::BIGINT AS named FROM customer")
+_USERS = """u AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '138' || lpad(c_custkey::VARCHAR, 8, '0') WHEN 1 THEN '12345' END AS phone, CASE c_custkey % 3 WHEN 0 THEN 'c' || c_custkey || '@example.org' WHEN 1 THEN 'c@' END AS email FROM customer)"""
+
+
+@query("identity_check", f"WITH {_USERS}, o AS (SELECT * FROM u WHERE k % 5 = 0), c AS (SELECT k, CASE WHEN phone IS NULL AND email IS NULL THEN 'none' WHEN phone = '12345' THEN 'phone' WHEN email = 'c@' THEN 'email' END AS bad FROM u) SELECT k, coalesce(bad, CASE WHEN k % 5 = 0 THEN 'taken' END) AS refused FROM c")
 def _(t):
-    return t("customer").agg(count().alias("n"), F.sum(F.col("c_name").rlike("^C").cast("long")).alias("named"))
+    k = F.col("c_custkey")
+    phone = F.when(k % 4 == 0, F.concat(F.lit("138"), F.lpad(k.cast("string"), 8, "0"))).when(k % 4 == 1, "12345")
+    email = F.when(k % 3 == 0, F.format_string("c%d@example.org", k)).when(k % 3 == 1, "c@")
+    u = t("customer").select(k.alias("k"), phone.alias("phone"), email.alias("email"))
+    return r.registered(u, u.filter("k % 5 = 0")).select("k", "refused")
 
 
-@query("empty_results", "SELECT event_id FROM events WHERE props IS NULL OR trim(props) IN ('', '[]') OR trim(props) = '{\"k\": 87}'")
+@query("empty_results", "SELECT event_id, event_id % 6 < 4 AS nothing FROM events")
 def _(t):
-    return t("events").filter(r.is_empty(F.col("props")) | (F.trim("props") == '{"k": 87}')).select("event_id")
+    k = F.col("event_id") % 6
+    found = F.when(k == 1, "").when(k == 2, " [] ").when(k == 3, "[]").when(k == 4, "[1]").when(k == 5, F.col("props"))
+    return t("events").select("event_id", r.is_empty(found).alias("nothing"))
 
 
 @query("inner_join_chapter_state", "SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45")
@@ -103,11 +111,11 @@ def _(t):
 
 @query("or_of_in_semi", f"WITH {EDGES} SELECT source, target, kind, chapter FROM edge WHERE source IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') OR target IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def _(t):
-    # Two semi-joins, each on its own key; the second takes what the first leaves.
+    # One pass over the edges: each side's ids tell, by a left join, whether they are among those wanted.
     e = edges(t).select("source", "target", "kind", "chapter")
-    c = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("source"))
-    s = t("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("target"))
-    return e.join(c, "source", "left_semi").unionByName(e.join(c, "source", "left_anti").join(s, "target", "left_semi"))
+    c = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("source"), F.lit(True).alias("by_source"))
+    s = t("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("target"), F.lit(True).alias("by_target"))
+    return e.join(c, "source", "left").join(s, "target", "left").filter("by_source or by_target").select("source", "target", "kind", "chapter")
 
 
 @query("bridge_collect_names", "SELECT o_orderkey, coalesce(string_agg(DISTINCT p_name, '|' ORDER BY p_name), '') AS names FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey")
@@ -116,18 +124,21 @@ def _(t):
     return t("orders").select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("names", F.lit("")).alias("names"))
 
 
-@query("polymorphic_lookup", "SELECT doc_id, kind, amount FROM (SELECT doc_id, ['customer', 'supplier', 'part'][(doc_id % 3 + 1)::INT] AS kind FROM labels) JOIN (SELECT 'customer' AS kind, c_custkey AS id, c_acctbal AS amount FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier UNION ALL SELECT 'part', p_partkey, p_retailprice FROM part) x USING (kind) WHERE x.id = doc_id")
+@query("polymorphic_lookup", "SELECT doc_id, l.kind, amount FROM (SELECT doc_id, ['customer', 'supplier', 'part'][(doc_id % 3 + 1)::INT] AS kind FROM labels) l LEFT JOIN (SELECT 'customer' AS kind, c_custkey AS id, c_acctbal AS amount FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier UNION ALL SELECT 'part', p_partkey, p_retailprice FROM part) x ON x.kind = l.kind AND x.id = l.doc_id")
 def _(t):
     issues = t("labels").select("doc_id", F.element_at(F.array(*map(F.lit, ("customer", "supplier", "part"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("kind"))
     of = lambda name, key, value: t(name).select(F.lit(name).alias("kind"), F.col(key).alias("doc_id"), F.col(value).alias("amount"))
     every = of("customer", "c_custkey", "c_acctbal").unionByName(of("supplier", "s_suppkey", "s_acctbal")).unionByName(of("part", "p_partkey", "p_retailprice"))
-    return issues.join(every, ["kind", "doc_id"]).select("doc_id", "kind", "amount")
+    return issues.join(every, ["kind", "doc_id"], "left").select("doc_id", "kind", "amount")
 
 
-@query("alias_resolve", "SELECT c_custkey, n_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_name LIKE 'N%' ")
+@query("alias_resolve", f"WITH w AS (SELECT o_orderkey, 'book_' || CAST(o_custkey % 5 AS VARCHAR) AS book_id, CASE WHEN o_orderkey % 2 = 0 THEN 'the ' || o_custkey ELSE 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') END AS alias_name FROM orders), a AS (SELECT book_id, alias_name, min(entity_id) AS entity_id FROM {sql('entity_alias')} GROUP BY ALL) SELECT o_orderkey, entity_id FROM w LEFT JOIN a USING (book_id, alias_name)")
 def _(t):
-    known = t("nation").filter("n_name like 'N%'").select("n_nationkey")
-    return t("customer").join(known, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_nationkey")
+    k = F.col("o_custkey")
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.format_string("the %d", k)).otherwise(F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")))
+    wanted = t("orders").select("o_orderkey", F.concat(F.lit("book_"), (k % 5).cast("string")).alias("book_id"), name.alias("alias_name"))
+    known = story(t, "entity_alias").groupBy("book_id", "alias_name").agg(F.min("entity_id").alias("entity_id"))
+    return wanted.join(known, ["book_id", "alias_name"], "left").select("o_orderkey", "entity_id")
 
 
 @query("new_ids_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -286,8 +297,8 @@ def _(t):
 def _(t):
     d = t("documents").select("doc_id", "source")
     top = d.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))), F.lit(-1)).alias("top"))
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return d.filter("doc_id % 2 = 1").withColumn("n", n).join(top, "source").select("doc_id", (F.col("top") + F.col("n")).cast("long").alias("global_index"))
+    numbered = r.numbered(d.filter("doc_id % 2 = 1"), "source", "doc_id")
+    return numbered.join(top, "source").select("doc_id", (F.col("top") + F.col("n")).cast("long").alias("global_index"))
 
 
 @query("next_start", "SELECT l_orderkey, l_linenumber, lead(l_partkey, 1, 0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS until FROM lineitem")
@@ -296,16 +307,16 @@ def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", F.lead("l_partkey", 1, 0).over(w).alias("until"))
 
 
-@query("history_budget_trim", "SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 1 OR (back <= 10 AND chars <= 600)")
+@query("history_budget_trim", "SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 1 OR role = 'system' OR (back <= 10 AND chars <= 600)")
 def _(t):
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     c = t("conversations").withColumn("chars", F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("back", F.row_number().over(w))
-    return c.filter("back <= 1 or (back <= 10 and chars <= 600)").select("conv_id", "turn")
+    return c.filter("back <= 1 or role = 'system' or (back <= 10 and chars <= 600)").select("conv_id", "turn")
 
 
-@query("session_title", "SELECT conv_id, left(min_by(text, turn), 20) AS title FROM conversations GROUP BY conv_id")
+@query("session_title", "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'given' ELSE left(min_by(text, turn), 20) END AS title FROM conversations GROUP BY conv_id")
 def _(t):
-    return t("conversations").groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 20).alias("title"))
+    return t("conversations").groupBy("conv_id").agg(F.when(F.col("conv_id") % 3 == 0, "given").otherwise(F.substring(F.min_by("text", "turn"), 1, 20)).alias("title"))
 
 
 @query("growth_marker", "SELECT user_id, day, event_id FROM (SELECT user_id, ts::DATE AS day, event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('purchase', 'signup')) WHERE r = 1")
@@ -326,21 +337,12 @@ def _(t):
     return t("orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey", "o_orderdate")
 
 
-def _null_first(t):
+@query("null_first_sort", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.toxic NULLS FIRST, d.doc_id")
+def _(t):
     d = t("documents").select("doc_id").join(t("labels").select("doc_id", "toxic"), "doc_id", "left")
     return d.orderBy(F.asc_nulls_first("toxic"), "doc_id")
 
 
-@query("null_first_sort", "SELECT doc_id, toxic FROM (SELECT d.doc_id, l.toxic, row_number() OVER (ORDER BY l.toxic NULLS FIRST, d.doc_id) AS r FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE r <= 30")
-def _(t):
-    return _null_first(t).limit(30)
-
-
-@query("null_first_sort_whole", sql_with("null_first_sort", " WHERE r <= 30", " ORDER BY r"))
-def _(t):
-    return _null_first(t)
-
-
 @query("login_or_match", "SELECT c_custkey FROM customer WHERE c_name = 'Customer#000000007' OR c_custkey = 11")
 def _(t):
     return t("customer").filter((F.col("c_name") == "Customer#000000007") | (F.col("c_custkey") == 11)).select("c_custkey")
@@ -351,20 +353,11 @@ def _(t):
     return t("orders").filter("o_custkey = 10").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", "o_orderstatus")
 
 
-@query("job_detail", "SELECT o_orderkey, count(l_orderkey) AS chapters, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag), '') AS states FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 50 GROUP BY o_orderkey")
+@query("job_detail", "SELECT o_orderkey, count(l_orderkey) AS chapters, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag), '') AS states FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def _(t):
-    return _details(t, t("orders").filter("o_custkey < 50"))
-
-
-@query("job_detail_whole", sql_with("job_detail", " WHERE o_custkey < 50", ""))
-def _(t):
-    return _details(t, t("orders"))
-
-
-def _details(t, orders):
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(count().alias("chapters"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("s"))
     lines = lines.withColumn("states", F.array_join(F.transform("s", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["l_returnflag"])), ","))
-    return orders.select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("chapters", F.lit(0)).alias("chapters"), F.coalesce("states", F.lit("")).alias("states"))
+    return t("orders").select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("chapters", F.lit(0)).alias("chapters"), F.coalesce("states", F.lit("")).alias("states"))
 
 
 @query("history_by_key", "SELECT turn, role, text FROM conversations WHERE conv_id = 3 ORDER BY turn")
@@ -377,15 +370,6 @@ def _(t):
     return t("nation").filter("n_name <> ''").select("n_name").distinct().orderBy("n_name")
 
 
-@query("month_format", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS uploaded FROM orders WHERE o_orderkey < 200")
+@query("month_format", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS uploaded FROM orders")
 def _(t):
-    return _uploaded(t("orders").filter("o_orderkey < 200"))
-
-
-@query("month_format_whole", sql_with("month_format", " WHERE o_orderkey < 200", ""))
-def _(t):
-    return _uploaded(t("orders"))
-
-
-def _uploaded(orders):
-    return orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("uploaded"))
+    return t("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("uploaded"))

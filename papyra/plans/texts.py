@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papyra.functions import html, jsonx, split, text
-from papyra.plans.registry import query, sql_with
+from papyra.plans.registry import query
 
 
 @query("clean_web_text", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\r\n?', E'\n', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM pages")
@@ -84,18 +84,9 @@ def _(t):
     return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-def _with_words(t, column):
-    return t("documents").filter(F.arrays_overlap(F.split(column, " "), F.array(*map(F.lit, ("the", "of", "und"))))).select("doc_id")
-
-
-@query("array_overlap_names", "SELECT doc_id FROM documents WHERE list_has_any(string_split(substr(text, 1, 60), ' '), ['the', 'of', 'und'])")
-def _(t):
-    return _with_words(t, F.substring("text", 1, 60))
-
-
-@query("array_overlap_names_whole", sql_with("array_overlap_names", "substr(text, 1, 60)", "text"))
+@query("array_overlap_names", "SELECT doc_id FROM documents WHERE list_has_any(string_split(text, ' '), ['the', 'of', 'und'])")
 def _(t):
-    return _with_words(t, F.col("text"))
+    return t("documents").filter(F.arrays_overlap(F.split("text", " "), F.array(*map(F.lit, ("the", "of", "und"))))).select("doc_id")
 
 
 @query("truncated_titles", "SELECT conv_id, turn, substr(text, 1, 50) AS snippet FROM conversations")
@@ -171,7 +162,7 @@ def _(t):
 
 @query("json_recover")
 def _(t):
-    answer = F.concat(F.lit("Well: ```json\n"), F.to_json(F.struct("role", "turn")), F.lit("\n``` "), F.substring("text", 1, 20))
+    answer = F.concat(F.lit("Well: ```json\n"), F.to_json(F.struct("role", "turn")), F.lit("\n``` "), F.col("text"))
     return t("conversations").select("conv_id", "turn", jsonx.recovered_of(answer).alias("json"))
 
 

@@ -1,20 +1,19 @@
-"""Vector search over ``embeddings``: labels stand for books, vectors below 10 for questions; in the queries ``*_whole``, which
-grow with the table, every vector whose id is divisible by 100."""
+"""Vector search over ``embeddings``: labels stand for books, every vector whose id is divisible by 100 for a question."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from papyra.operators import vector as v
-from papyra.plans.registry import query, sql_with
+from papyra.plans.registry import query
 
-_SCORES = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS own FROM embeddings WHERE vec_id < 10),
+_SCORES = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS own FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, own, label AS grp, vec_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM q, embeddings)"""
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
 
 
-def _questions(t, group: bool = False, which: str = "vec_id < 10"):
-    e = t("embeddings").filter(which)
+def _questions(t, group: bool = False):
+    e = t("embeddings").filter("vec_id % 100 = 0")
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), *([F.col("label").alias("group")] if group else []))
 
 
@@ -28,12 +27,12 @@ def _out(df):
 
 @query("vector_topk", f"WITH {_SCORES} SELECT query_id, r AS rank, vec_id, grp AS label, round(score, 6) AS score FROM (SELECT *, {_TOP} AS r FROM s) WHERE r <= 5")
 def _(t):
-    return _out(v.top(v.scored(_questions(t), _chunks(t)), 5))
+    return _out(v.top_in_blocks(_questions(t), _chunks(t), 5))
 
 
 @query("vector_topk_filtered", f"WITH {_SCORES} SELECT query_id, r AS rank, vec_id, grp AS label, round(score, 6) AS score FROM (SELECT *, {_TOP} AS r FROM s WHERE grp = own) WHERE r <= 5")
 def _(t):
-    return _out(v.top(v.scored(_questions(t, True), _chunks(t)), 5))
+    return _out(v.top_in_blocks(_questions(t, True), _chunks(t), 5))
 
 
 @query("vector_vote_search", f"WITH {_SCORES}, w AS (SELECT *, {_TOP} AS r FROM s), n AS (SELECT query_id, grp, count(*) AS n FROM w WHERE r <= 100 GROUP BY ALL), c AS (SELECT query_id, grp FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, grp) AS k FROM n) WHERE k = 1), b AS (SELECT s.*, {_TOP.replace('query_id', 's.query_id')} AS k FROM s JOIN c ON s.query_id = c.query_id AND s.grp = c.grp) SELECT query_id, k AS rank, vec_id, grp AS label, round(score, 6) AS score FROM b WHERE k <= 5 AND score >= 0.1")
@@ -43,7 +42,7 @@ def _(t):
 
 @query("cosine_gate", f"WITH {_SCORES} SELECT query_id, count(*) AS hits FROM s WHERE score >= 0.3 GROUP BY query_id")
 def _(t):
-    return v.scored(_questions(t), _chunks(t)).filter("score >= 0.3").groupBy("query_id").agg(F.count("*").alias("hits"))
+    return v.near_counts(_questions(t), _chunks(t), 0.3)
 
 
 @query("semantic_dedup", "SELECT a.vec_id, a.label FROM embeddings a WHERE a.vec_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id % 2 = 0 AND a.label = b.label AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3)")
@@ -54,41 +53,7 @@ def _(t):
 
 @query("rerank_fallback", f"WITH {_SCORES}, h AS (SELECT *, {_TOP} AS r FROM s), k AS (SELECT *, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE 1.0 / (1 + vec_id) END AS rr FROM h WHERE r <= 20) SELECT query_id, vec_id, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rr, score) DESC, vec_id) AS n FROM k) WHERE n <= 5")
 def _(t):
-    hits = v.top(v.scored(_questions(t), _chunks(t)), 20)
-    rerank = F.when(F.col("vec_id") % 3 != 0, F.lit(1.0) / (1 + F.col("vec_id")))
-    return v.reranked(hits, rerank, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
-
-
-_MANY = "vec_id % 100 = 0"
-
-
-def _whole(name):
-    return query(f"{name}_whole", sql_with(name, "vec_id < 10", _MANY))
-
-
-@_whole("vector_topk")
-def _(t):
-    return _out(v.top_in_blocks(_questions(t, which=_MANY), _chunks(t), 5))
-
-
-@_whole("vector_topk_filtered")
-def _(t):
-    return _out(v.top_in_blocks(_questions(t, True, _MANY), _chunks(t), 5))
-
-
-@_whole("vector_vote_search")
-def _(t):
-    return _out(v.vote_search_in_blocks(_questions(t, which=_MANY), _chunks(t), gate=0.1))
-
-
-@_whole("cosine_gate")
-def _(t):
-    return v.near_counts(_questions(t, which=_MANY), _chunks(t), 0.3)
-
-
-@_whole("rerank_fallback")
-def _(t):
-    hits = v.top_in_blocks(_questions(t, which=_MANY), _chunks(t), 20)
+    hits = v.top_in_blocks(_questions(t), _chunks(t), 20)
     rerank = F.when(F.col("vec_id") % 3 != 0, F.lit(1.0) / (1 + F.col("vec_id")))
     return v.reranked(hits, rerank, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +16,17 @@ def session(name: str = "papyra", *, master: str = "local[*]", partitions: int =
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, where checkpoints go; only where that is unset, and Spark runs in one process,
+    one of our own."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.match(r"local(\[.*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="papyra-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found

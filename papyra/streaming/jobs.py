@@ -80,19 +80,21 @@ LEASE = "job string, chapter long, status string"
 
 def leases(claims: DataFrame, *, seconds: int = 1800) -> DataFrame:
     """(job, chapter, status) for each change: claimed work that isn't finished in time goes back to pending.
-    claims: job, chapter, status."""
+    claims: job, chapter, status, at; the latest of a batch counts, and one older than what is known doesn't."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
-            status = "pending"
+            status, at = "pending", state.get[1]
+            state.update((status, at))
         else:
-            status = str(pd.concat(list(batches))["status"].iloc[-1])
+            rows = pd.concat(list(batches))
+            at, status = max(zip(rows["at"], rows["status"]))
+            at = int(at)
+            if state.exists and at < state.get[1]:
+                return
+            state.update((str(status), at))
             if status == "processing":
-                state.update((status,))
                 state.setTimeoutDuration(seconds * 1000)
-            elif state.exists:
-                state.remove()
         yield pd.DataFrame({"job": [key[0]], "chapter": [key[1]], "status": [status]})
 
-    return claims.groupBy("job", "chapter").applyInPandasWithState(step, LEASE, "status string", "update", "ProcessingTimeTimeout")
+    return claims.groupBy("job", "chapter").applyInPandasWithState(step, LEASE, "status string, at long", "update", "ProcessingTimeTimeout")

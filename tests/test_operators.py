@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from papyra.functions import html, jsonx, split
+from papyra.operators import graph
 from papyra.operators import relational as r
 from papyra.operators import temporal as tm
 from papyra.operators import upsert as up
@@ -65,6 +66,23 @@ def test_as_of_rows_strict_or_not(spark):
     get = lambda strict: sorted((x.key, x.at, x.asof_v) for x in tm.as_of_rows(left, right, "key", "at", "v", strict=strict).collect())
     assert get(False) == [("a", 1, "x"), ("a", 5, "y"), ("b", 3, None)]
     assert sorted(get(True), key=str) == sorted([("a", 1, None), ("a", 5, "x"), ("b", 3, None)], key=str)
+    later = right.unionByName(spark.createDataFrame([("a", 4, None)], right.schema))
+    assert [(x.asof_at, x.asof_v) for x in tm.as_of_rows(left, later, "key", "at", "v", strict=True).collect() if x.key == "a" and x.at == 5] == [(4, None)]
+
+
+def test_one_hop_stops_before_an_edge_too_many(spark):
+    star = [(0, i, "k", 1, 0) for i in range(1, 131)]
+    nodes, edges = graph.one_hop(spark.createDataFrame(star, "source long, target long, kind string, start_chapter long, end_chapter long"), 0, 5)
+    assert (nodes.count(), edges.count()) == (100, 99)
+    same = [(0, 1, f"k{i:03}", 1, 0) for i in range(130)]
+    nodes, edges = graph.one_hop(spark.createDataFrame(same, "source long, target long, kind string, start_chapter long, end_chapter long"), 0, 5)
+    assert (nodes.count(), edges.count()) == (2, 100)
+    assert graph.root_of(nodes.filter("node > 0"), 0).first().node == 1 and graph.root_of(nodes, 0).first().node == 0 and graph.root_of(nodes.limit(0), 7).first().node == 7
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    df = spark.createDataFrame([(k, i * 3) for k in "ab" for i in range(50)], "k string, i long")
+    assert sorted((x.k, x.i, x.n) for x in r.numbered(df, "k", "i", 7).collect()) == [(k, i * 3, i + 1) for k in "ab" for i in range(50)]
 
 
 @settings(max_examples=60, deadline=None)

@@ -45,7 +45,7 @@ def test_append_new_across_batches(spark, tmp_path):
 
 
 def test_finished_leases_stay_finished(spark, tmp_path):
-    rows = [("j", 1, "processing"), ("j", 2, "processing"), ("j", 1, "done")]
-    stream = _source(spark, rows, "job string, chapter long, status string", tmp_path, lambda x: [x[:2], x[2:]])
+    rows = [("j", 1, "processing", 1), ("j", 2, "processing", 1), ("j", 3, "done", 9), ("j", 3, "processing", 2), ("j", 1, "done", 2), ("j", 3, "processing", 5)]
+    stream = _source(spark, rows, "job string, chapter long, status string, at long", tmp_path, lambda x: [x[:4], x[4:]])
     got = [(x.chapter, x.status) for x in _run(jobs.leases(stream), "leases", "update", tmp_path).collect()]
-    assert got.count((1, "done")) == 1 and (2, "processing") in got
+    assert got.count((1, "done")) == 1 and (2, "processing") in got and [x for x in got if x[0] == 3] == [(3, "done")]
