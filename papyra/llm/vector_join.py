@@ -3,9 +3,10 @@
 Unit vectors with cosine >= c are no further apart than 2 - 2c, squared. A fixed random rotation spreads that over all
 coordinates, which are split into ``BLOCKS`` blocks, and each block gets the share of the squared distance that its
 coordinates are of all: two vectors can't exceed every block's budget and still link. So each block is joined by range on
-its own. Its first coordinate is cut into strips as wide as the budget's root; vectors meet those of their own and the next
-strip, and are candidates if their squared distance in the block is within the budget. A candidate pair counts in the first
-block that finds it, and its cosine, in double precision, decides.
+its own. Its first coordinate is cut into strips as wide as the budget's root, the reach; vectors meet those of their own and
+the next strip. There, those within reach of each other in every coordinate of the block are found by bits (``within_reach``), and
+are candidates if their squared distance in the block is within the budget. A candidate pair counts in the first block that finds
+it, and its cosine, in double precision, decides.
 
 Equal vectors of a label are one class, with a weight. Classes of a strip are dealt to tiles of about ``TILE``, and each
 pair of tiles that meets is a unit of its own, so no strip, label or group of near copies is ever whole in one task. A unit
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from papyra.llm.components import components
 from papyra.llm.shared import table, written
 
-COSINE, BLOCKS, TILE, SEED = 0.93, 8, 1024, 20240101
+COSINE, BLOCKS, TILE, AXES, SEED = 0.93, 8, 4096, 12, 20240101
 #: Rotated coordinates are whole numbers of 1/GRID, so that all units see the same distances; SLACK covers the rounding.
 GRID, SLACK = 1 << 20, 1e-4
 
@@ -72,22 +73,41 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.square(a - b).sum(axis=1)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, block: int, same: bool, cosine: float, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def within_reach(pa_: np.ndarray, pb: np.ndarray, reach: float, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that differ by about ``reach`` at most in each of the first ``AXES`` coordinates: a range join on all of
+    them at once. Each coordinate of a is cut into cells of a quarter of the reach; a cell has the bits of those rows of b that
+    are within reach of it, and a row's partners are the bits that its cells have in common."""
+    width, reach = reach / 4, reach * (1 + 1e-9)
+    words = -(-len(pb) // 64)
+    maps, index = [], []
+    for j in range(min(AXES, pa_.shape[1])):
+        cells, place = np.unique(np.floor(pa_[:, j] / width), return_inverse=True)
+        low = (cells * width)[:, None]
+        on = np.zeros((len(cells), 64 * words), dtype=bool)
+        on[:, : len(pb)] = (pb[:, j] >= low - reach) & (pb[:, j] <= low + width * (1 + 1e-9) + reach)
+        maps.append(np.packbits(on, axis=1, bitorder="little").view(np.uint64))
+        index.append(place)
+    for i in range(0, len(pa_), chunk):
+        common = maps[0][index[0][i : i + chunk]]
+        for m, place in zip(maps[1:], index[1:]):
+            common &= m[place[i : i + chunk]]
+        x, y = np.nonzero(np.unpackbits(common.view(np.uint8), axis=1, bitorder="little"))
+        yield x + i, y
+
+
+def tile_links(a: np.ndarray, b: np.ndarray, block: int, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of the unit vectors a and b that link and are first found in this block; a is b if ``same``."""
     d = a.shape[1]
     ra, rb = rotated(a), rotated(b)
     of, most = blocks(d), [budget(d, k, cosine) for k in range(len(blocks(d)))]
-    pb = rb[:, of[block]]
-    nb = np.square(pb).sum(axis=1)
     left, right = [], []
-    for i in range(0, len(a), chunk):
-        pa_ = ra[i : i + chunk, of[block]]
-        near = np.square(pa_).sum(axis=1)[:, None] + nb[None, :] - 2 * (pa_ @ pb.T) <= most[block]  # whole numbers: exact
+    for x, y in within_reach(ra[:, of[block]], rb[:, of[block]], np.sqrt(most[block])) if len(a) and len(b) else ():
         if same:
-            near &= np.arange(len(b))[None, :] > np.arange(i, i + len(pa_))[:, None]
-        x, y = np.nonzero(near)
+            x, y = x[y > x], y[y > x]
         for j in range(0, len(x), 1 << 16):
-            p, q = x[j : j + (1 << 16)] + i, y[j : j + (1 << 16)]
+            p, q = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
+            near = _square(ra[p, of[block]], rb[q, of[block]]) <= most[block]  # whole numbers: exact
+            p, q = p[near], q[near]
             for k in range(block):
                 later = _square(ra[p, of[k]], rb[q, of[k]]) > most[k]
                 p, q = p[later], q[later]
