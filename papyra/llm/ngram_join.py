@@ -8,11 +8,11 @@ that are connected already needn't be probed again.
 
 Which sets meet in a unit is settled without loss by pigeonhole. Linked sets of about some size differ in at most d grams, so
 if the number space is cut into k = d + 1 + e parts, they have at least e + 1 parts in common, whole. Each set emits a
-signature for each part (its grams there), for its own class of sizes and the next smaller, but leaves out up to e parts that
-are common among strangers: empty ones, and small ones whose signature many documents have (counted over all). As all sets
-leave out the most common first, the least common part that two linked sets share is emitted by both. A task passes on each
-signature once for many texts, and connects the sets that have it itself, so that near copies don't make it hot. Sets with a common
-signature are candidates; components of candidates make units of at most ``BLOCK`` sets and ``GRAMS`` grams, and larger ones are cut into blocks of
+signature for each part (its grams there), for its own class of sizes and the next smaller, but leaves out up to e parts, less a
+few, that are common among strangers: empty ones, and small ones whose signature many documents have (counted over all). As all
+sets leave out the most common first, the least common parts that two linked sets share are emitted by both: so many, that strangers
+that have a passage in common seldom have as many. Sets that share so many signatures are candidates, and so are, without a count, those
+with a signature that many have; components of candidates make units of at most ``BLOCK`` sets and ``GRAMS`` grams, and larger ones are cut into blocks of
 one class of sizes: first all blocks against the first, then what is not yet in the largest part against all of like sizes. Full sets
 travel only for candidates.
 
@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.components import HELD, Forest, components
+from papyra.llm.components import Forest, components
 from papyra.llm.piece_encode import slices
 from papyra.llm.shared import WRITTEN, alike, discard, partitions, release, small_batches, table, written
 
 #: Sets and grams of a unit: a cluster of more is cut into blocks; in the late round, blocks and groups of probes.
 BLOCK, LATE_BLOCK, GRAMS = 64, 512, 1_000_000
-#: Signatures that a task holds to find those that it has twice; the bits of a Bloom filter, by the number of its keys, at least and at most.
-WINDOW, BLOOM_BITS = 500_000, (16, 28)
+#: Sets with a common signature of which all pairs are counted; pairs that a task counts before it passes them on; how many common
+#: signatures are asked for at most; the bits of a Bloom filter, by the number of its keys, at least and at most.
+TOGETHER_MOST, PAIRS, AGREE, BLOOM_BITS = 6, 1_000_000, 16, (16, 28)
 
 
 @dataclass(frozen=True)
@@ -133,8 +134,8 @@ def size_classes(most: int, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def signatures(offsets: np.ndarray, grams: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All parts of all sets, for both classes: index of the set, signature, number of grams, and how many parts of that set
-    and class may be left out."""
+    """All parts of all sets, for both classes: index of the set, signature, number of grams, and how many more parts than
+    one linked sets have in common at least (the margin)."""
     size = np.diff(offsets)
     least, parts, margin = size_classes(1 << int(size.max(initial=1)).bit_length(), like)
     own = np.searchsorted(least, size, side="right") - 1
@@ -158,16 +159,23 @@ def signatures(offsets: np.ndarray, grams: np.ndarray, like: Likeness) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def emitted(of: np.ndarray, sig: np.ndarray, count: np.ndarray, spare: np.ndarray, blooms: list[np.ndarray]) -> np.ndarray:
-    """Which parts a set emits: all but its ``spare`` most common ones. Linked sets have at least spare + 1 parts in common,
-    and in one order of all signatures (how common, then the number) the least common of these is left out by neither.
-    Signatures come in runs of one set and class."""
+def agreeing(margin: np.ndarray) -> np.ndarray:
+    """How many emitted signatures linked sets have in common at least: part of the margin is kept for that."""
+    return 1 + np.minimum(margin // 4, AGREE - 1)
+
+
+def emitted(of: np.ndarray, sig: np.ndarray, count: np.ndarray, margin: np.ndarray, blooms: list[np.ndarray]) -> np.ndarray:
+    """Which parts a set emits: all but its ``spare`` most common ones. Linked sets have at least margin + 1 parts in common;
+    in one order of all signatures (how common, then the number) what either leaves out of these are the first ``spare`` at
+    most, so both emit the last margin + 1 - spare of them: as many as ``agreeing`` says. Signatures come in runs of one set and
+    class."""
+    spare = margin + 1 - agreeing(margin)
     level = np.where(count == 0, len(blooms) + 1, 0)
     some = np.flatnonzero((count > 0) & (count <= FEW))
     for b in blooms:
         level[some] += _holds(b, sig[some])
     rare = np.lexsort((sig, -level))
-    run = np.cumsum(np.concatenate(([True], (of[1:] != of[:-1]) | (spare[1:] != spare[:-1])))) if len(of) else np.zeros(0, dtype=np.int64)
+    run = np.cumsum(np.concatenate(([True], (of[1:] != of[:-1]) | (margin[1:] != margin[:-1])))) if len(of) else np.zeros(0, dtype=np.int64)
     rare = rare[np.argsort(run[rare], kind="stable")]  # by run, the most common first
     starts = np.searchsorted(run[rare], run[rare], side="left")
     keep = np.ones(len(of), dtype=bool)
@@ -291,38 +299,36 @@ def common_signatures(docs: DataFrame, text: str, like: Likeness) -> list[np.nda
     return blooms
 
 
-def met_here(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of some sets, each once: with the least of its sets, and the sets that share one connected by signatures of
-    their own (one for each component, numbered by its least set)."""
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    new = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, dtype=bool)
-    first = key[new][np.cumsum(new) - 1]
-    forest = Forest()
-    forest.add(first[first != key], key[first != key])
-    ties = forest.rows()
-    node, label = np.asarray(ties.column(0)), np.asarray(ties.column(1))
-    ends, hubs = np.concatenate((node, np.unique(label))), np.concatenate((label, np.unique(label)))
-    sig, key = np.concatenate((sig[new], _mixed(hubs.view(np.uint64) + np.uint64(3)).view(np.int64))), np.concatenate((key[new], ends))
-    order = np.argsort(key, kind="stable")  # equal numbers side by side are small when compressed
-    return sig[order], key[order]
+def counted_pairs(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((t, b, a))
+    a, b, t = a[order], b[order], t[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])))) if len(a) else np.zeros(0, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], t[new].astype(np.int32), np.diff(np.append(new, len(a))))], ["a", "b", "t", "n"])
+
+
+def pairs_of(key: np.ndarray, t: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted sets of each signature -> (a, b, t): all pairs of up to ``most`` sets; of more, each with the first, t 0."""
+    out = []
+    for k in range(2, most + 1):
+        at, of = start[size == k], np.triu_indices(k, 1)
+        i, j = (at[:, None] + of[0]).ravel(), (at[:, None] + of[1]).ravel()
+        out.append((key[i], key[j], t[i]))
+    large = size > most
+    first, rest = np.repeat(start[large], size[large] - 1), size[large] - 1
+    other = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(rest) - rest, rest)
+    out.append((key[first], key[other], np.zeros(len(first), dtype=t.dtype)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
-    """(a, b): what connects sets with common signatures; each set of a signature is linked to its first, and each task keeps
-    of its links no more than one for each set."""
+    """(a, b): what connects candidates. Pairs of sets that have a signature in common with few others must have as many in common
+    as linked sets have (``agreeing``); of a signature that more sets have, each is connected with the first, whatever else they
+    have in common. So a linked pair either meets in a signature of the second kind, or all that they share are counted."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(common_signatures(docs, text, like))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task emit once
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def passed_on() -> pa.RecordBatch:
-            sig, key = met_here(*(np.concatenate(x) for x in zip(*held)))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], ["sig", "key"])
-
         for b in batches:
             for _, t in slices(b.column(0), TOGETHER):
                 if len(seen) > SEEN:
@@ -330,34 +336,45 @@ def candidate_edges(docs: DataFrame, text: str, like: Likeness) -> DataFrame:
                 offsets, grams = gram_sets(t, like.words)
                 keys = set_keys(offsets, grams)
                 new = np.array([not (k in seen or seen.add(k)) for k in keys.tolist()], dtype=bool) & (np.diff(offsets) > 0)
-                of, sig, count, spare = signatures(offsets, grams, like)
-                keep = emitted(of, sig, count, spare, shipped.value) & new[of]
-                held.append((sig[keep], keys[of[keep]]))
-                if sum(len(s) for s, _ in held) > WINDOW:
-                    yield passed_on()
-        if held:
-            yield passed_on()
+                of, sig, count, margin = signatures(offsets, grams, like)
+                keep = emitted(of, sig, count, margin, shipped.value) & new[of]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(keys[of[keep]]), pa.array(agreeing(margin[keep]).astype(np.int8))], ["sig", "key", "t"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # signature, its first set
-        forest = Forest()
+        sig, key, t = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+        held: list[tuple] = []
+
+        def told(sig: np.ndarray, key: np.ndarray, t: np.ndarray) -> None:
+            start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, dtype=np.int64)
+            held.append(pairs_of(key, t, start, np.diff(np.append(start, len(sig))), TOGETHER_MOST))
+
+        def passed_on() -> pa.RecordBatch:
+            out = counted_pairs(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            return out
+
         for b in batches:
             if not b.num_rows:
                 continue
-            sig, key = np.asarray(b.column(0)), np.asarray(b.column(1))
-            new = np.concatenate(([last is None or sig[0] != last[0]], sig[1:] != sig[:-1]))
-            run = np.cumsum(new)
-            first = np.concatenate(([last[1] if last else 0], key[new]))[run]
-            some = first != key
-            last = int(sig[-1]), int(first[-1])
-            forest.add(first[some], key[some])
-            if len(forest.up) > HELD:
-                yield forest.rows()
-                forest = Forest()
-        yield forest.rows()
-
-    sigs = docs.select(text).mapInArrow(emit, "sig long, key long")
-    return sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "key").mapInArrow(meet, "a long, b long")
+            # The last signature's sets wait for more; of many, the first and enough to be many.
+            sig, key, t = (np.concatenate((x, np.asarray(c))) for x, c in zip((sig, key, t), b.columns))
+            once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
+            sig, key, t = sig[once], key[once], t[once]
+            cut = int(np.searchsorted(sig, sig[-1]))
+            told(sig[:cut], key[:cut], t[:cut])
+            sig, key, t = sig[cut:], key[cut:], t[cut:]
+            if len(sig) > TOGETHER_MOST + 1:
+                told(sig, key, t)
+                keep = np.r_[0 : TOGETHER_MOST + 1]
+                sig, key, t = sig[keep], key[keep], t[keep]
+            if sum(len(h[0]) for h in held) > PAIRS:
+                yield passed_on()
+        told(sig, key, t)
+        yield passed_on()
+
+    sigs = docs.select(text).mapInArrow(emit, "sig long, key long, t byte")
+    met = sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "key").mapInArrow(meet, "a long, b long, t int, n long")
+    return met.groupBy("a", "b", "t").agg(F.sum("n").alias("n")).filter("n >= t").select("a", "b")
 
 
 def _bloom(keys: DataFrame, shard: int = 21) -> np.ndarray:

@@ -71,23 +71,21 @@ def test_links_always_share_a_signature(like):
             both = len(np.intersect1d(a, b))
             if like.whole * both >= like.part * (len(a) + len(b) - both) and len(b):
                 offsets = np.array([0, len(a), len(a) + len(b)])
-                of, sig, count, spare = nj.signatures(offsets, np.concatenate((a, b)), like)
+                of, sig, count, margin = nj.signatures(offsets, np.concatenate((a, b)), like)
                 # Whatever is called common, in whatever degrees, linked sets still meet.
                 for blooms in ([], *some):
-                    keep = nj.emitted(of, sig, count, spare, blooms)
-                    assert set(sig[keep & (of == 0)].tolist()) & set(sig[keep & (of == 1)].tolist())
-
-
-def test_signatures_that_meet_in_a_task_keep_all_connections():
-    r = np.random.default_rng(3)
-    sig, key = r.integers(0, 400, 600), r.integers(-100, 100, 600)
-    before, after = Forest(), Forest()
-    for forest, s, k in ((before, sig, key), (after, *nj.met_here(sig, key))):
-        first = {}
-        for x, y in zip(s.tolist(), k.tolist()):
-            forest.link(y, first.setdefault(x, y))
-    assert [before.root(k) for k in range(-100, 100)] == [after.root(k) for k in range(-100, 100)]
-    assert set(sig.tolist()) <= set(nj.met_here(sig, key)[0].tolist())
+                    keep = nj.emitted(of, sig, count, margin, blooms)
+                    sent = [{(s, n) for s, n, k in zip(sig.tolist(), nj.agreeing(margin).tolist(), (keep & (of == i)).tolist()) if k} for i in (0, 1)]
+                    both_ = [n for _, n in sent[0] & sent[1]]
+                    assert any(both_.count(n) >= n for n in set(both_))
+
+
+def test_pairs_of_a_signature():
+    key, t = np.arange(100, 113), np.repeat([0, 1, 3, 6], [1, 2, 3, 7]).astype(np.int8)
+    a, b, n = nj.pairs_of(key, t, np.array([0, 1, 3, 6]), np.array([1, 2, 3, 7]), 3)
+    assert sorted(zip(a.tolist(), b.tolist(), n.tolist())) == sorted([(101, 102, 1), (103, 104, 3), (103, 105, 3), (104, 105, 3)] + [(106, 106 + i, 0) for i in range(1, 7)])
+    got = nj.counted_pairs(np.array([1, 1, 2]), np.array([5, 5, 6]), np.array([3, 3, 0], dtype=np.int8)).to_pydict()
+    assert got == {"a": [1, 2], "b": [5, 6], "t": [3, 0], "n": [2, 1]}
 
 
 def test_units_of_long_texts_are_cut_by_grams(spark, monkeypatch):
