@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -88,3 +89,41 @@ def read_of(column):
         return pa.array([read(h) for h in c.to_pylist()], pa.struct([("title", s), ("links", pa.list_(pa.struct([("title", s), ("url", s), ("kind", s)]))), ("text", s)]))
 
     return run(column)
+
+
+def joined_url(base, link):
+    """A link as seen from a page's address; null if either is, or can't be read."""
+
+    @F.arrow_udf(T.StringType())
+    def run(b: pa.Array, u: pa.Array) -> pa.Array:
+        def one(x: str | None, y: str | None) -> str | None:
+            try:
+                return None if x is None or y is None else urljoin(x, y)
+            except ValueError:
+                return None
+
+        return pa.array([one(x, y) for x, y in zip(b.to_pylist(), u.to_pylist())], pa.string())
+
+    return run(base, link)
+
+
+RESULT = T.StructType([T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("title", T.StringType()), T.StructField("content", T.StringType())])
+
+
+def result_of(column):
+    """What came of a page: (success, error, title, content); a page that is empty or can't be read fails by itself."""
+
+    def one(h: str | None) -> dict:
+        if not (h or "").strip():
+            return {"success": False, "error": "empty page", "title": None, "content": None}
+        try:
+            page = read(h)
+        except Exception as e:  # concerns this page only
+            return {"success": False, "error": f"{type(e).__name__}: {e}", "title": None, "content": None}
+        return {"success": True, "error": None, "title": page["title"], "content": page["text"]}
+
+    @F.arrow_udf(RESULT)
+    def run(c: pa.Array) -> pa.Array:
+        return pa.array([one(h) for h in c.to_pylist()], pa.struct([("success", pa.bool_()), ("error", pa.string()), ("title", pa.string()), ("content", pa.string())]))
+
+    return run(column)

@@ -178,3 +178,25 @@ def _(t):
     words = F.expr(r"regexp_extract_all(text, '(\\b[A-Z][a-z]{3,})', 1)")
     d = t("documents").select("doc_id", F.explode(F.array_distinct(words)).alias("name"))
     return d.groupBy("name").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+
+
+@query("url_join", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/c/' || page_id || '.html' AS absolute FROM pages")
+def _(t):
+    link = F.format_string("/c/%d.html", F.col("page_id"))
+    return t("pages").select("page_id", html.joined_url(F.col("url"), link).alias("absolute"))
+
+
+@query("crawl_envelope", "SELECT page_id, page_id % 4 <> 0 AS success, CASE WHEN page_id % 4 = 0 THEN 'empty page' END AS error, (SELECT count(*) FROM pages WHERE page_id % 4 <> 0 AND coalesce(html, '') <> '') AS success_count FROM pages WHERE coalesce(html, '') <> ''")
+def _(t):
+    """Each page's result by itself, and how many succeeded."""
+    page = F.when(F.col("page_id") % 4 != 0, F.col("html")).otherwise(F.lit(""))
+    p = t("pages").filter("html <> ''").select("page_id", html.result_of(page).alias("r"))
+    n = p.agg(F.count_if("r.success").alias("success_count"))
+    return p.join(F.broadcast(n)).select("page_id", "r.success", "r.error", "success_count")  # one row
+
+
+@query("split_by_type")
+def _(t):
+    d = _marked(t).withColumn("file_type", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt"))
+    c = d.select("doc_id", F.explode(split.by_type_of(F.col("text"), F.col("file_type"), F.col("source"))).alias("c"))
+    return c.select("doc_id", "c.*")

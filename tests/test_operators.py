@@ -119,6 +119,9 @@ def test_chapters_and_markdown():
     assert [(c["type"], c["path"]) for c in split.markdown_chunks(md)] == [("text", ""), ("text", "A"), ("code", "A"), ("table", "A"), ("text", "A > B")]
     table = "| h |\n|---|\n" + "\n".join(f"| row {i} |" for i in range(40))
     assert all(p.startswith("| h |\n|---|\n| row") and len(p) <= 100 for p in split.table_parts(table, 100))
+    assert split.table_parts("", 9) == [] and split.table_parts("| h |\n|-|", 3) == ["| h |\n|-|"] and split.by_lines("", 5) == [""]
+    assert [(c["title"], c["chunk_index"], c["chunk_total"]) for c in split.by_type(md, ".md", "f")] == [("", 0, 5), ("A", 1, 5), ("A", 2, 5), ("A", 3, 5), ("A > B", 4, 5)]
+    assert [(c["title"], c["text"]) for c in split.by_type("plain", ".md", "f")] == [("f", "plain")] and split.by_type(text, ".txt", "f")[1]["title"] == "第二回 乙"
     assert split.by_lines("a\n" + "x" * 25 + "\nb", 10) == ["a", "x" * 10, "x" * 10, "x" * 5, "b"]
 
 
@@ -146,10 +149,19 @@ def test_loader(spark, tmp_path):
     (tmp_path / ".hidden.txt").write_text("hidden but long enough")
     (tmp_path / "skip").mkdir()
     (tmp_path / "skip" / "c.txt").write_text("skipped but long enough")
-    docs, failed = loader.load(spark, str(tmp_path), skip=["skip"])
+    docs, failed = loader.load(spark, [str(tmp_path), f"{tmp_path}/a.txt", str(tmp_path), f"{tmp_path}/none"], skip=["skip"])
+    assert docs.count() == 2 and sorted((x.encoding.replace("_", "-"), x.content_length) for x in docs.collect()) == [("gb18030", 18), ("utf-8", 23)]
     got = {x.file_name: x.text for x in docs.collect()}
     assert set(got) == {"a.txt", "b.md"} and got["a.txt"] == "first line here\n\nsecond"
-    assert sorted(x.reason for x in failed.collect()) == ["too short"]
+    assert sorted(x.reason for x in failed.collect()) == ["missing", "too short"]
+    (tmp_path / ".kept").mkdir()
+    (tmp_path / ".kept" / "d.txt").write_text("below a hidden folder that was asked for")
+    assert loader.load(spark, f"{tmp_path}/.kept")[0].count() == 1 and loader.load(spark, f"{tmp_path}/none")[0].count() == 0
+    parts, _ = loader.load_and_split(spark, str(tmp_path), skip=["skip"])
+    assert sorted((x.file_name, x.title, x.chunk_index, x.chunk_total) for x in parts.collect()) == [("a.txt", "a.txt", 0, 1), ("b.md", "标题", 0, 1)]
+    table = f"{tmp_path}/table"
+    schema = spark.createDataFrame([], "a long").schema
+    assert [loader.ensured(spark, table, s) for s in (schema, schema, docs.schema)] == ["created", "kept", "rebuilt"]
     assert loader.schema_differs(docs.select("text"), spark.createDataFrame([], "text long, more int").schema) == ["missing more", "text is string, not bigint"]
     loader.save(docs.selectExpr("file_name as title", "text"), f"{tmp_path}/out")
     assert spark.read.text(f"{tmp_path}/out").count() > 0
