@@ -37,10 +37,10 @@ from papyra.llm.piece_encode import slices
 from papyra.llm.shared import WRITTEN, alike, discard, partitions, release, small_batches, table, written
 
 #: Sets and grams of a unit: a cluster of more is cut into blocks; in the late round, blocks and groups of probes.
-BLOCK, LATE_BLOCK, GRAMS = 64, 512, 1_000_000
+BLOCK, LATE_BLOCK, GRAMS = 64, 512, 500_000
 #: Sets with a common signature of which all pairs are counted; pairs that a task counts before it passes them on; how many common
 #: signatures are asked for at most; the bits of a Bloom filter, by the number of its keys, at least and at most.
-TOGETHER_MOST, PAIRS, AGREE, BLOOM_BITS = 6, 1_000_000, 16, (16, 28)
+TOGETHER_MOST, PAIRS, AGREE, BLOOM_BITS = 6, 300_000, 16, (16, 28)
 
 
 @dataclass(frozen=True)

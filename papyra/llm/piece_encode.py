@@ -25,7 +25,7 @@ from papyra.llm.pieces import LONG, MODEL, SPACE, START, UNKNOWN, Pieces, load
 from papyra.llm.shared import small_batches, table
 
 GAP = 0xFF  # between pre-tokens; no byte of UTF-8
-BATCH_BYTES, KEPT_WORDS = 2_000_000, 300_000
+BATCH_BYTES, KEPT_WORDS = 1_000_000, 200_000
 
 
 def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:

@@ -26,7 +26,7 @@ START, UNKNOWN = -1, -2
 _FAR = np.int64(1) << 40
 #: Bytes from which a pre-token is relaxed by itself, edge by edge: side by side with others it would be a step a byte for all.
 LONG = 512
-PAIRS = 1_000_000  # pairs of pieces whose joining a worker keeps
+PAIRS = 1_000_000  # pairs of pieces whose joining is kept while a pre-token is relaxed
 
 
 def _merges(text: str, rank: dict[str, int]) -> list[tuple[str, int, int]]:
@@ -100,8 +100,6 @@ class Pieces:
                 self.when[i] = max(self.rank[i], self.when[a], self.when[b])
         keys = np.array([a * len(self.text) + b for a, b in pairs], dtype=np.int64)
         at = np.argsort(keys)
-        self._known: dict[tuple[int, int], bool] = {}
-        self._made, self._ranks, self._whens = pairs, self.rank.tolist(), self.when.tolist()
         self.pair_keys, self.pair_made = keys[at], np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[at]
 
     def joins(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -140,6 +138,9 @@ class Pieces:
         """``joins`` of a single pair."""
         if u < 0 or t < 0:
             return True
+        if not hasattr(self, "_made"):  # of use for long pre-tokens only
+            made = zip(*(x.tolist() for x in np.divmod(self.pair_keys, len(self.text))))
+            self._made, self._ranks, self._whens = dict(zip(made, self.pair_made.tolist())), self.rank.tolist(), self.when.tolist()
         rank, when, made = self._ranks, self._whens, self._made
         a, b = u, t
         a_ends = b_ends = a_rank = b_rank = int(_FAR)
@@ -162,6 +163,7 @@ class Pieces:
         """Relaxes the edges (start, end, piece, whether the last to its end) of one long pre-token of ``size`` bytes, by end
         and the longest first. Returns, for each position, the last piece and where it starts (-1: no encoding ends there)."""
         last, back = [START] * (size + 1), [-1] * (size + 1)
+        known: dict[tuple[int, int], bool] = {}
         if self.kind == "unigram":
             best, worst, scores = [-math.inf] * (size + 1), self.worst, self.scores.tolist()
             best[0] = 0.0
@@ -175,10 +177,10 @@ class Pieces:
                 continue
             u = last[i]
             ok = final
-            if not ok and (ok := self._known.get((u, t))) is None:
-                if len(self._known) > PAIRS:
-                    self._known.clear()
-                ok = self._known[u, t] = self._one_joins(u, t)
+            if not ok and (ok := known.get((u, t))) is None:
+                if len(known) > PAIRS:
+                    known.clear()
+                ok = known[u, t] = self._one_joins(u, t)
             if ok:
                 last[j], back[j] = t, i
         return last, back

@@ -4,13 +4,13 @@ One pass turns each whole text into ``STATISTICS`` (square roots of shares, logs
 labelled training rows' statistics and their products inside Spark (a few numbers per class reach the driver) and shrinks
 each class covariance towards the pooled one and its diagonal. Its Cholesky factor is computed once and cached in the model.
 A score is the posterior of label 1: the logistic of the difference of the two Gaussian log densities, each half the negated
-squared Mahalanobis distance (a triangular solve with the cached factor) less the factor's log determinant, plus the log prior.
+squared Mahalanobis distance (a product with the cached factor's inverse) less the factor's log determinant, plus the log prior.
 
 Training rows: all labelled rows whose crc32(doc_id as text) mod 5 is not 0. Labels, lang, source and doc_id are never inputs.
 
 Edges: null text counts as empty and has all its counts 0; label rows that are null, or repeat a document, or lack one, drop
-out of the fit or weigh as often as they occur; with no training row of one of the classes every score is the share of label
-1 among the training rows (1 without any); several documents with the same doc_id each get their row.
+out of the fit or weigh as often as they occur; with fewer than two training rows of one of the classes every score is the share
+of label 1 among the training rows (1 without any); several documents with the same doc_id each get their row.
 """
 
 from __future__ import annotations
