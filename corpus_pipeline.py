@@ -20,15 +20,21 @@ from papyra.llm.source_mix import mixed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fitted on the labelled documents of the table ``labels`` beside ``docs``; a table without labels keeps all."""
+    """Fitted on the labelled documents of the table ``labels`` in ``sf_dir``; a table without labels keeps all. Null and empty
+    texts are scored like others; rows that repeat stay or go together."""
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that five-word shingles link at a Jaccard of 0.8 or more, directly or by others, that with the least doc_id
+    stays. Null and empty texts link with nothing and stay, and so do documents without an id; rows with the same id are one
+    document; an empty table stays empty; other columns are kept, whatever their names."""
     return deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, with its columns; sources by code point, null last. Texts without words have
+    no size and aren't taken; an empty table stays empty."""
     return mixed(docs)
 
 
