@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from papyra.llm.block_names import OP13_SQL, op13_block_names
 from papyra.llm.context_mix import op7_context_mix
+from papyra.llm.elkan import OP12_SQL, op12_elkan
+from papyra.llm.filter_audit import OP11_SQL, op11_filter_audit
 from papyra.llm.fingerprint import op1_fingerprint
 from papyra.llm.ngram_join import op4_ngram_join
 from papyra.llm.piece_encode import op3_sentencepiece
@@ -24,9 +27,15 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_vector_join": op9_vector_join,
     "op10_warc": op10_warc,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_elkan": op12_elkan,
+    "op13_block_names": op13_block_names,
 }
 ORACLE_SQL = {
     "op5_source_mix": OP5_SQL,
     "op6_url_filter": OP6_SQL,
     "op10_warc": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_elkan": OP12_SQL,
+    "op13_block_names": OP13_SQL,
 }
