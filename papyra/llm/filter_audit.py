@@ -1,9 +1,9 @@
 """Filter interaction audit: what each of several filters removes, in every order that they can be applied in.
 
 One of the filters is exact duplication, settled by sorting: rows are range-sorted by a fingerprint of the text, the full text
-and doc_id, and each is compared with its predecessor. A run of equal texts that goes on into the next partition is met there
-through one row a partition (its first and last text, and the least doc_id of the last run); these rows are joined pairwise, so
-no task holds all of them with their texts. The same pass finds which other filters the text fails.
+and doc_id, and each is compared with its predecessor. What a run of equal texts needs to know of its part in earlier
+partitions, their least doc_id, comes from a few rows a partition (see ``runs``). The same pass finds which other filters the
+text fails.
 
 A row is then a mask of failed filters, and a part (a source) is 32 masks with three counters each, which add up over rows,
 partitions and runs (``counters``, ``merged``). All orders and steps follow from a part's counters by products with fixed
@@ -23,11 +23,11 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.llm.runs import Edges, begins
 from papyra.llm.shared import WORD, release, small_batches, table, written
 
 FILTERS = "ABCDE"
@@ -48,39 +48,37 @@ def text_mask(text: bytes) -> int:
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted partition (h, t, k, part) as (p, run, k, part, mask, later): run numbers the runs of equal texts from 0, later
-    tells whether the run has a smaller key in this partition. At the end one row (run null) for the partition itself: the
-    first and the last run's fingerprint and text, the last run's least key and the number of runs."""
-    part, run, least, last, mask = TaskContext.get().partitionId(), -1, None, None, 0
-    first = None
-    names = ["p", "run", "k", "part", "mask", "later", "h0", "t0", "h1", "t1", "least", "runs"]
+    """Rows of a sorted partition (h, t, k, part) as (p, run, k, part, mask, later): run counts the runs of equal texts from 0, later
+    tells whether the run has a smaller key in this partition. At the end the runs at the partition's edges (mask null), with
+    fingerprint, text and least key."""
+    part, run, least, last, mask, edges = TaskContext.get().partitionId(), -1, None, None, 0, Edges()
+    names = ["p", "run", "k", "part", "mask", "later", "h", "t", "least"]
     for batch in batches:
         m = batch.num_rows
         if not m:
             continue
-        h, t = batch.column(0), batch.column(1)
-        new = np.ones(m, dtype=bool)
-        if m > 1:
-            new[1:] = pc.or_(pc.not_equal(h.slice(1), h.slice(0, m - 1)), pc.not_equal(t.slice(1), t.slice(0, m - 1))).to_numpy(zero_copy_only=False)
-        new[0] = last is None or last[0] != h[0].as_py() or last[1] != t[0].as_py()
-        at, mask_of, later = [], [], []
-        for i, (fresh, k) in enumerate(zip(new.tolist(), batch.column(2).to_pylist())):
+        h, t, keys = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+        new = begins([h, t], last)
+        last = [h[m - 1].as_py(), t[m - 1].as_py()]
+        runs = run + np.cumsum(new)
+        mask_of, later = [], []
+        for i, (fresh, k) in enumerate(zip(new.tolist(), keys)):
             if fresh:  # rows with a null key come last in a run
-                run, least, mask = run + 1, k, text_mask(t[i].as_py().encode())
-            at.append(run)
+                least, mask = k, text_mask(t[i].as_py().encode())
             mask_of.append(mask)
             later.append(k is not None and least is not None and k > least)
-        last = (h[m - 1].as_py(), t[m - 1].as_py())
-        first = (h[0].as_py(), t[0].as_py()) if first is None else first
-        none = [pa.nulls(m, ty) for ty in (h.type, t.type, h.type, t.type, pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array(at, pa.int64()), batch.column(2), batch.column(3), pa.array(mask_of, pa.int32()), pa.array(later), *none], names)
-    if first is not None:
-        none = [pa.nulls(1, ty) for ty in (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_())]
-        ends = [pa.array([v], ty) for v, ty in zip((*first, *last, least, run + 1), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *none, *ends], names)
+        edges.add(h.to_numpy(), np.flatnonzero(new), lambda j: (int(runs[j]), h[j].as_py(), t[j].as_py(), keys[j]))  # noqa: B023  called at once
+        run = int(runs[-1])
+        none = [pa.nulls(m, ty) for ty in (pa.int64(), pa.string(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array(runs, pa.int64()), batch.column(2), batch.column(3), pa.array(mask_of, pa.int32()), pa.array(later), *none], names)
+    if told := list(zip(*edges.told())):
+        m = len(told[0])
+        none = [pa.nulls(m, ty) for ty in (pa.int64(), pa.string(), pa.int32(), pa.bool_())]
+        ends = [pa.array(v, ty) for v, ty in zip(told[1:], (pa.int64(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array(told[0], pa.int64()), *none, *ends], names)
 
 
-_MASKS_SQL = "p int, run long, k long, part string, mask int, later boolean, h0 long, t0 string, h1 long, t1 string, least long, runs long"
+_MASKS_SQL = "p int, run long, k long, part string, mask int, later boolean, h long, t string, least long"
 
 
 def masks(docs: DataFrame, *, text: str = "text", key: str = "doc_id", part: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -89,19 +87,14 @@ def masks(docs: DataFrame, *, text: str = "text", key: str = "doc_id", part: str
     small_batches(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.xxhash64(t).alias("h"), t.alias("t"), F.col(key).cast("long").alias("k"), F.coalesce(F.col(part), F.lit("")).alias("part"), F.monotonically_increasing_id().alias("r"))
-    by = ["h", "t", F.col("k").asc_nulls_last(), "r"]
-    done = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("h", "t", "k", "part").mapInArrow(_masks, _MASKS_SQL), "masks")
-    ends = done.filter("run is null").select("p", "h0", "t0", "h1", "t1", "least", "runs")
-    in_order = Window.orderBy("p")  # one small row a partition
-    before = ends.select("p", F.lag("p").over(in_order).alias("q"))
-    pairs = ends.select("p", "h0", "t0").join(before, "p").join(ends.select(F.col("p").alias("q"), "h1", "t1"), "q")
-    goes_on = pairs.select("p", ((F.col("h0") == F.col("h1")) & (F.col("t0") == F.col("t1"))).alias("on"))
-    line = ends.select("p", "least", "runs").join(goes_on, "p", "left").withColumn("on", F.coalesce("on", F.lit(False)))
-    # The least key of the run that a partition ends with, unless the run began earlier: then it is found there.
-    began = F.when(~(F.col("on") & (F.col("runs") == 1)), F.struct("least"))
-    carried = line.select("p", F.when(F.col("on"), F.last(began, ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))["least"]).alias("carried"))
-    rows = done.filter("run is not null").select("p", "run", "k", "part", "mask", "later").join(F.broadcast(carried), "p")
-    smaller = F.col("later") | ((F.col("run") == 0) & F.coalesce(F.col("k") > F.col("carried"), F.lit(False)))
+    by_key = [F.col("k").asc_nulls_last(), "r"]
+    dealt = rows.repartitionByRange("h", *by_key).sortWithinPartitions("h", "t", *by_key)
+    done = written(dealt.select("h", "t", "k", "part").mapInArrow(_masks, _MASKS_SQL), "masks")
+    # A text's runs are in partitions one after another, with growing keys.
+    before = Window.partitionBy("h", "t").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = done.filter("mask is null").select("p", "run", F.min("least").over(before).alias("carried")).filter("carried is not null")
+    rows = done.filter("mask is not null").select("p", "run", "k", "part", "mask", "later").join(F.broadcast(carried), ["p", "run"], "left")
+    smaller = F.col("later") | F.coalesce(F.col("k") > F.col("carried"), F.lit(False))
     return rows.select("k", "part", (F.col("mask") + F.when(smaller, 1 << FILTERS.index("E")).otherwise(0)).alias("mask")), done
 
 

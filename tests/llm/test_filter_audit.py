@@ -1,11 +1,22 @@
 import random
 from itertools import permutations
 
+import pytest
+
 from papyra.llm import filter_audit as fa
 
 SPACE = " \t\n\x0b\x0c\r"
 
 
+@pytest.fixture(autouse=True)
+def many_partitions(spark):
+    """Small tables stay in as many partitions as they were dealt to, so that runs cross their edges."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 def _words(t):
     out, word = [], ""
     for c in t + " ":
