@@ -1,15 +1,14 @@
 """Exact dedup by deterministic block naming.
 
 A text, less the six ASCII white-space characters, is cut into blocks of ``BLOCK`` bytes of UTF-8. All blocks of all texts are
-range-sorted and named by their rank among the distinct ones; then adjacent names of a text are paired, the pairs are sorted and
-named in the same way, and so on until a text has one name. Names are ranks, not hashes: two texts end with the same number of
-blocks and the same name if and only if they are equal. A text of n blocks takes part in about log2(n) rounds, and each round
-has half the rows of the one before.
+sorted and named by their run among equal ones; then adjacent names of a text are paired, the pairs are sorted and named in the
+same way, and so on until a text has one name. Names are places in a sort of the values themselves, not hashes: two texts end
+with the same number of blocks and the same name if and only if they are equal. A text of n blocks takes part in about log2(n)
+rounds, and each round has half the rows of the one before.
 
-Sorting goes by (block, row number, place), so that a block which a third of all rows hold is spread over as many range
-partitions as it fills. Ranks are made in one streaming pass over each sorted partition; where a value runs on from one
-partition into the next is settled from one small row a partition. Every round is written to the shared folder: a lost executor
-costs a reread of the round before.
+A block which a third of all rows hold is spread over as many range partitions as it fills (see ``runs``). Names are made in one
+streaming pass over each sorted partition; values whose runs go on in other partitions are settled from a few rows a partition.
+Every round is written to the shared folder: a lost executor costs a reread of the round before.
 
 Edges: a null text is an empty one, and equals texts of white space only; texts are equal by their bytes, however long they are
 (a text is held by one task while it is cut, after that its blocks are rows of their own); rows without a key or with the same
@@ -25,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.llm.runs import Edges, begins
 from papyra.llm.shared import WORD, release, row_of, small_batches, table, written
 
 #: Bytes of a block.
@@ -70,61 +69,49 @@ def cut(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(run, f"{_BLOCK_SQL}, k {rows.schema[1].dataType.simpleString()}")
 
 
-def _ranks(columns: int):
-    """A pass over a sorted partition: each row's rank among the distinct values of its first ``columns`` columns, and at the end
-    one row (kind 1) with the first and the last value and their number."""
+def _runs(columns: int):
+    """A pass over a sorted partition (h, values, r, i, n): each row's run, counted from 0; and at the end the runs at the
+    partition's edges (r null) with their values, and one row (run null) with the number of runs in n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rank, last, first = TaskContext.get().partitionId(), -1, None, None
-        keys = types = None
+        part, at, last, edges = TaskContext.get().partitionId(), -1, None, Edges()
+        names, types = ["p", "run", "r", "i", "n", "h", *(f"v{j}" for j in range(columns))], []
         for batch in batches:
             m = batch.num_rows
             if not m:
                 continue
-            keys = [batch.column(j) for j in range(columns)]
+            keys = [batch.column(j) for j in range(columns + 1)]
             types = [k.type for k in keys]
-            new = np.zeros(m, dtype=bool)
-            for k in keys:
-                if m > 1:
-                    new[1:] |= pc.not_equal(k.slice(1), k.slice(0, m - 1)).to_numpy(zero_copy_only=False)
-            head = [k[0].as_py() for k in keys]
-            new[0] = head != last
-            first = head if first is None else first
-            at = rank + np.cumsum(new)
-            rank, last = int(at[-1]), [k[m - 1].as_py() for k in keys]
-            empty = [pa.nulls(m, t) for t in types]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, part, dtype=np.int32)), pa.array(at, pa.int64()), batch.column(columns), batch.column(columns + 1), batch.column(columns + 2), *empty, *empty],
-                ["p", "rank", "r", "i", "n", *(f"first{j}" for j in range(columns)), *(f"last{j}" for j in range(columns))],
-            )
-        if first is not None:
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([rank + 1], pa.int64()), none, none, none, *(pa.array([v], t) for v, t in zip([*first, *last], [*types, *types]))],
-                ["p", "rank", "r", "i", "n", *(f"first{j}" for j in range(columns)), *(f"last{j}" for j in range(columns))],
-            )
+            new = begins(keys, last)
+            runs = at + np.cumsum(new)
+            edges.add(keys[0].to_numpy(), np.flatnonzero(new), lambda j: (int(runs[j]), *(k[j].as_py() for k in keys)))  # noqa: B023  called at once
+            at, last = int(runs[-1]), [k[m - 1].as_py() for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, dtype=np.int32)), pa.array(runs, pa.int64()), *(batch.column(columns + j) for j in (1, 2, 3)), *(pa.nulls(m, t) for t in types)], names)
+        if types:
+            told = list(zip(*edges.told()))
+            m = len(told[0])
+            none = [pa.nulls(m, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array(told[0], pa.int64()), *none, *(pa.array(v, t) for v, t in zip(told[1:], types))], names)
+            none = [pa.nulls(1, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *none, pa.array([at + 1], pa.int64()), *(pa.nulls(1, t) for t in types)], names)
 
     return run
 
 
 def named(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(r, i, n, name) from rows (*keys, r, i, n): name is the rank of the keys' values among all distinct ones, from 0; and the
-    written table behind it, to release. The range-sort spreads equal values over partitions; a value that runs on from the partition before
-    isn't counted again. Only the partitions' own rows, one each, are ordered in one task."""
+    """(r, i, n, name) from rows (*keys, r, i, n): names are whole numbers, equal for equal values of the keys and for no others;
+    and the written table behind it, to release. A name is the place of its run among all runs, in the order of the partitions;
+    a value whose runs are in several has the name of the first. Only one row a partition is ordered in one task."""
     types = dict(rows.dtypes)
-    ends = ", ".join(f"{e}{j} {types[k]}" for e in ("first", "last") for j, k in enumerate(keys))
-    order = [*keys, "r", "i"]
-    ordered = rows.select(*keys, "r", "i", "n").repartitionByRange(*order).sortWithinPartitions(*order)
-    done = written(ordered.mapInArrow(_ranks(len(keys)), f"p int, rank long, r long, i long, n long, {ends}"), "names")
-    by_part = Window.orderBy("p")
-    goes_on = F.lit(True)
-    for j in range(len(keys)):
-        goes_on = goes_on & (F.col(f"first{j}") == F.lag(f"last{j}").over(by_part))
-    parts = done.filter("r is null").withColumn("on", F.coalesce(goes_on, F.lit(False)).cast("long"))
-    start = F.coalesce(F.sum(F.col("rank") - F.col("on")).over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("on")
-    starts = parts.select("p", start.alias("start"))
-    out = done.filter("r is not null").select("p", "rank", "r", "i", "n").join(F.broadcast(starts), "p")
-    return out.select("r", "i", "n", (F.col("start") + F.col("rank")).alias("name")), done
+    values = [f"v{j}" for j in range(len(keys))]
+    dealt = rows.select(F.xxhash64(*keys).alias("h"), *keys, "r", "i", "n").repartitionByRange("h", "r", "i").sortWithinPartitions("h", *keys, "r", "i")
+    done = written(dealt.mapInArrow(_runs(len(keys)), ", ".join(["p int, run long, r long, i long, n long, h long", *(f"{v} {types[k]}" for v, k in zip(values, keys))])), "names")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = done.filter("run is null").select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    edges = done.filter("run is not null and r is null").join(F.broadcast(starts), "p").withColumn("name", F.col("start") + F.col("run"))
+    shared = edges.select("p", "run", "name", F.min("name").over(Window.partitionBy("h", *values)).alias("first")).filter("first < name").select("p", "run", "first")
+    out = done.filter("r is not null").select("p", "run", "r", "i", "n").join(F.broadcast(starts), "p").join(F.broadcast(shared), ["p", "run"], "left")
+    return out.select("r", "i", "n", F.coalesce("first", F.col("start") + F.col("run")).alias("name")), done
 
 
 def identities(rows: DataFrame, block: int = BLOCK) -> DataFrame:

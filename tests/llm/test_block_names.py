@@ -1,13 +1,24 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from papyra.llm import block_names as bn
+from papyra.llm.runs import Edges
 
 SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
 
+@pytest.fixture(autouse=True)
+def many_partitions(spark):
+    """Small tables stay in as many partitions as they were dealt to, so that runs cross their edges."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 def _brute(rows):
     groups: dict = {}
     for i, (k, t) in enumerate(rows):
@@ -63,7 +74,22 @@ def test_rows_that_stay_have_the_columns_of_docs(spark):
     assert bn.deduplicated(docs.limit(0)).count() == 0
 
 
-def test_names_are_ranks(spark):
-    rows = [(bytes([v % 7]), i, 0, 1) for i, v in enumerate(range(100))]
-    found, _ = bn.named(spark.createDataFrame(rows, "b binary, r long, i long, n long"), ["b"])
-    assert {(r.r % 7, r.name) for r in found.collect()} == {(v, v) for v in range(7)}
+def test_equal_values_have_one_name_over_partitions(spark):
+    rows = [(bytes([v % 7]), i, 0, 1) for i, v in enumerate(range(300))] + [(b"hot", 1000 + i, 0, 1) for i in range(600)]
+    found, behind = bn.named(spark.createDataFrame(rows, "b binary, r long, i long, n long"), ["b"])
+    names: dict = {}
+    for r in found.collect():
+        names.setdefault(rows[r.r][0] if r.r < 300 else b"hot", set()).add(r.name)
+    assert len(names) == 8 and all(len(v) == 1 for v in names.values()) and len(set.union(*names.values())) == 8
+    assert behind.filter("run is null").count() > 1
+
+
+def test_values_that_share_a_fingerprint():
+    edges = Edges()
+    h = np.array([5, 5, 5, 8, 9, 9])
+    edges.add(h[:4], np.array([0, 2, 3]), lambda j: (j,))
+    edges.add(h[4:], np.array([0, 1]), lambda j: (j + 4,))
+    assert edges.told() == [(0,), (2,), (4,), (5,)]
+    one = Edges()
+    one.add(h[:3], np.array([0, 2]), lambda j: (j,))
+    assert one.told() == [(0,), (2,)]
