@@ -102,7 +102,21 @@ def first_bounds(n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.zeros(n, dtype=np.int64), np.full(n, np.inf), np.zeros((n, k))
 
 
-_STATE = "v array<bigint>, a int, u double, l array<double>, d bigint, s array<bigint>"
+#: v: components as 32-bit numbers; a: cluster; u, l: bounds; d: squared distance; s: a task's sums. Vectors as bytes, as Spark
+#: handles arrays number by number.
+_STATE = "v binary, a int, u double, l binary, d bigint, s array<bigint>"
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    width = x.dtype.itemsize * x.shape[1]
+    at = np.arange(0, len(x) * width + 1, width, dtype=np.int32) if len(x) else np.zeros(1, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def unpacked(column: pa.Array, dtype: type, width: int) -> np.ndarray:
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=4 * column.offset)
+    return np.frombuffer(column.buffers()[2], dtype=dtype, count=len(column) * width, offset=int(at[0])).reshape(len(column), width)
 
 
 def integers(vectors: DataFrame, *, key: str, vector: str, dims: int, scale: int) -> DataFrame:
@@ -133,12 +147,13 @@ def _stepped(state: DataFrame, move: Move, first: bool, last: bool) -> DataFrame
             n, row_type = b.num_rows, b.column(0).type
             if not n:
                 continue
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
             if first:
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
                 a, u, lo = first_bounds(n, k)
             else:
+                v = unpacked(b.column(1), np.int32, dims).astype(np.int64)
                 a, u = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), b.column(3).to_numpy(zero_copy_only=False).copy()
-                lo = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(n, k).copy()
+                lo = unpacked(b.column(4), np.float64, k).copy()
             done = assign(v, a, u, lo, move)
             sums[0, 1] += done
             d = squared(v, move.centroids[a]) if last else np.zeros(n, dtype=np.int64)
@@ -147,10 +162,10 @@ def _stepped(state: DataFrame, move: Move, first: bool, last: bool) -> DataFrame
                 sums[j, 0] += int(mine.sum())
                 sums[j, 2] += int(d[mine].sum())
                 sums[j, 3:] += v[mine].sum(axis=0)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(a, pa.int32()), pa.array(u), lists(lo), pa.array(d), pa.nulls(n, pa.list_(pa.int64()))], names)
+            kept = packed(v.astype(np.int32)) if first else b.column(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), kept, pa.array(a, pa.int32()), pa.array(u), packed(lo), pa.array(d), pa.nulls(n, pa.list_(pa.int64()))], names)
         if row_type is not None:
-            none = [pa.nulls(k, t) for t in (row_type, pa.list_(pa.int64()), pa.float64(), pa.list_(pa.float64()), pa.int64())]
+            none = [pa.nulls(k, t) for t in (row_type, pa.binary(), pa.float64(), pa.binary(), pa.int64())]
             yield pa.RecordBatch.from_arrays([none[0], none[1], pa.array(range(k), pa.int32()), none[2], none[3], none[4], pa.array(sums.tolist(), pa.list_(pa.int64()))], names)
 
     return state.mapInArrow(run, T.StructType([T.StructField("row", state.schema["row"].dataType), *T._parse_datatype_string(_STATE).fields]))
