@@ -58,7 +58,7 @@ def merged_entities(records: DataFrame, checkpoint: Callable[[DataFrame], DataFr
     record; aliases are all others, sorted; type, description and fragment are the first that aren't empty."""
     w = Window.partitionBy("book", "chapter").orderBy("scene", "ord")
     rows = checkpoint(records.withColumn("nth", F.row_number().over(w)).withColumn("record", F.struct("book", "chapter", "nth")))
-    spelled = F.array_union(F.array(F.trim("name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.trim))
+    spelled = F.array_union(F.array(F.trim("name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda s: F.trim(s)))
     names = rows.select("record", F.explode(spelled).alias("spelling")).filter("spelling <> ''")
     scoped = names.select("record", F.concat_ws("\u0001", "record.book", F.col("record.chapter").cast("string"), "spelling").alias("name"))
     groups = alias_groups(scoped, checkpoint)

@@ -104,7 +104,7 @@ def filled_events(events: DataFrame) -> DataFrame:
     sort = at.cast("long") * 100_000 + F.coalesce("scene", F.lit(0)) * 1000 + F.coalesce("global_sort", F.lit(0))
     return events.filter("event_id is not null").select(
         "event_id", _text("event_level", "event"), "parent_event_id", "event_title", _text("event_content"), _text("time_desc"), sort.alias("global_sort"), _text("narrative_type"), _text("plot_impact"),
-        _or("start_chapter", at), _or("end_chapter", F.lit(0)), "book_id",
+        _or("start_chapter", at), _or("end_chapter", F.lit(0)), "book_id", "chapter_index",
     )
 
 
@@ -112,7 +112,7 @@ def filled_rules(rules: DataFrame) -> DataFrame:
     at = F.col("chapter_index")
     return rules.select(
         hashed_id("rul", "book_id", "rule_name").alias("rule_id"), "book_id", _text("rule_name"), _text("rule_type", "other"), _text("rule_content"), "subject_entity_id", _text("subject_ability"),
-        _or("valid_from_chapter", at), _or("valid_to_chapter", F.lit(0)),
+        _or("valid_from_chapter", at), _or("valid_to_chapter", F.lit(0)), "chapter_index",
     )
 
 
@@ -120,7 +120,15 @@ def filled_foreshadowings(items: DataFrame) -> DataFrame:
     at = F.col("chapter_index")
     return items.select(
         hashed_id("fs", "book_id", "title", at.cast("string")).alias("foreshadowing_id"), "book_id", _text("title"), _text("description"), _or("setup_chapter", at), "setup_event_id",
-        F.coalesce("involved_entities", F.array().cast("array<string>")).alias("involved_entity_ids"), F.lit(None).cast("long").alias("reveal_chapter"), _text("status", "pending"), _text("foreshadowing_type"), "concealment_level", _text("misleading_info"),
+        F.coalesce("involved_entities", F.array().cast("array<string>")).alias("involved_entity_ids"), F.lit(None).cast("long").alias("reveal_chapter"), _text("status", "pending"), _text("foreshadowing_type"), "concealment_level", _text("misleading_info"), "chapter_index",
+    )
+
+
+def filled_conflicts(conflicts: DataFrame) -> DataFrame:
+    """Conflicts as rows of their table, with the chapter that tells of them; an end that isn't told stays so."""
+    return conflicts.select(
+        hashed_id("cfl", "book_id", "conflict_title").alias("conflict_id"), "book_id", "conflict_title", _text("conflict_type", "对抗"), _text("conflict_desc"), _text("side_a"), _text("side_b"),
+        _or("start_chapter", F.col("chapter_index")), "end_chapter", _text("current_status", "升级"), "chapter_index",
     )
 
 
