@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from papyra.operators.relational import window_around
 from papyra.operators.temporal import valid_at
+from papyra.operators.terms import earliest_hits
 
 #: Fixed value: the trend of a relation that tells none.
 STEADY = "稳定"
@@ -87,8 +88,9 @@ def cards(t: dict[str, DataFrame], n: int) -> DataFrame:
     # Foreshadowing names those involved; conflicts have them somewhere in a side.
     f = t["foreshadowing"].withColumn("name", F.explode("involved_entity_ids")).join(spelled, ["book_id", "name"]).dropDuplicates(["foreshadowing_id", "entity_id"])
     lines = listed(f, "entity_id", "foreshadowings", ["setup_chapter", "foreshadowing_id"], ["title", "setup_chapter", "reveal_chapter", "status", "foreshadowing_type", "concealment_level", "misleading_info"])
-    c = t["story_conflict"].alias("c").join(spelled.alias("s"), (F.col("c.book_id") == F.col("s.book_id")) & (F.contains("c.side_a", "s.name") | F.contains("c.side_b", "s.name")))
-    c = c.select("s.entity_id", "c.conflict_id", "c.conflict_title", "c.current_status", "c.side_a", "c.side_b").distinct()
+    sides = t["story_conflict"].select("book_id", "conflict_id", F.explode(F.array("side_a", "side_b")).alias("side"))
+    taking = earliest_hits(sides, spelled, key=["book_id", "conflict_id"], text="side", scope="book_id", owner="entity_id", term="name")
+    c = taking.select("book_id", "conflict_id", F.col("owner").alias("entity_id")).join(t["story_conflict"], ["book_id", "conflict_id"]).select("entity_id", "conflict_id", "conflict_title", "current_status", "side_a", "side_b")
     fights = listed(c, "entity_id", "conflicts", ["conflict_id"], ["conflict_title", "current_status", "side_a", "side_b"])
     rules = listed(t["rule_check"].filter("subject_entity_id is not null").withColumnRenamed("subject_entity_id", "entity_id"), "entity_id", "rules", ["valid_from_chapter", "rule_id"], ["rule_name", "rule_type", "rule_content", "subject_ability", "last_check_result"])
     card = t["entity"]
@@ -123,8 +125,8 @@ def last_of(array: str, field: str) -> Column:
 def evidence_at(spelled: DataFrame, chapters: DataFrame, n: int, width: int = 200) -> DataFrame:
     """(entity_id, evidence): where chapter n of the book first has one of the entity's names."""
     text = chapters.filter(F.col("chapter_index") == n).select("book_id", "chapter_index", "chapter_title", "chapter_text")
-    found = spelled.join(text, "book_id").withColumn("__at", F.expr("instr(chapter_text, name) - 1")).filter("__at >= 0")
-    first = found.groupBy("book_id", "entity_id").agg(F.min("__at").alias("__at")).join(text, "book_id")
+    found = earliest_hits(text, spelled, key=["book_id"], text="chapter_text", scope="book_id", owner="entity_id", term="name")
+    first = found.select("book_id", F.col("owner").alias("entity_id"), F.col("at").alias("__at")).join(text, "book_id")
     return first.select("entity_id", F.struct("chapter_index", "chapter_title", window_around(F.col("chapter_text"), F.col("__at"), width).alias("window")).alias("evidence"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papyra.functions import html, jsonx, split, text
+from papyra.operators.terms import earliest_hits
 from papyra.plans.registry import query
 
 
@@ -200,3 +201,23 @@ def _(t):
     d = _marked(t).withColumn("file_type", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt"))
     c = d.select("doc_id", F.explode(split.by_type_of(F.col("text"), F.col("file_type"), F.col("source"))).alias("c"))
     return c.select("doc_id", "c.*")
+
+
+PASSAGE = (2, 8)
+_WORDS = r"string_split_regex(trim(text), '\s+')"
+
+
+@query("term_join_earliest", f"""WITH w AS (SELECT item_id, {_WORDS} AS w FROM benchmark), t AS (SELECT DISTINCT item_id, array_to_string(w[i:i + n - 1], ' ') AS term FROM w, range({PASSAGE[0]}, {PASSAGE[1] + 1}) AS a(n), range(1, 500) AS b(i) WHERE i + n - 1 <= len(w)),
+d AS (SELECT DISTINCT term FROM t), h AS (SELECT doc_id, term, strpos(text, term) - 1 AS pos FROM documents, d WHERE contains(text, term)),
+b AS (SELECT doc_id, item_id, term, pos, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY pos, length(term) DESC, term) AS r FROM h JOIN t USING (term)) SELECT doc_id, item_id, term, pos::BIGINT AS pos FROM b WHERE r = 1""")
+def _(t):
+    """Where each document first has a passage, of two to eight words, of each benchmark item."""
+    words = F.split(F.trim("text"), r"\s+")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(0)), F.lit(1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+    w = t("benchmark").select("item_id", words.alias("w"))
+    terms = None
+    for n in range(PASSAGE[0], PASSAGE[1] + 1):
+        one = w.filter(F.size("w") >= n).select("item_id", F.explode(grams(n)).alias("term"))
+        terms = one if terms is None else terms.unionByName(one)
+    hits = earliest_hits(t("documents"), terms, key=["doc_id"], text="text", owner="item_id")
+    return hits.select("doc_id", F.col("owner").alias("item_id"), "term", F.col("at").alias("pos"))
