@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from papyra.operators import ivf
 from papyra.operators import vector as v
 from papyra.plans.registry import query
+from papyra.session import shared_folder
 
 _SCORES = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS own FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, own, label AS grp, vec_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM q, embeddings)"""
@@ -58,6 +62,24 @@ def _(t):
     return v.reranked(hits, rerank, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+def _indexed(t):
+    return ivf.built(_chunks(t), f"{shared_folder(t('embeddings').sparkSession)}/ivf-{uuid.uuid4().hex}")
+
+
+@query("vector_ivf_topk")
+def _(t):
+    return _out(ivf.search(_questions(t), _indexed(t), 5))
+
+
+@query("vector_ivf_recall", "SELECT count(*) * 5 AS hits, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def _(t):
+    """Of the five nearest of every question, how many there are, and whether the lists give nine tenths of them at least."""
+    exact = v.top_in_blocks(_questions(t), _chunks(t), 5)
+    found = ivf.search(_questions(t), _indexed(t), 5)
+    hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id").withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hits.agg(F.count("*").alias("hits"), (F.count("hit") >= F.count("*") * 0.9).alias("enough"))
+
+
 @query("embed_stub")
 def _(t):
     from papyra.functions.embed import embed_of
