@@ -11,6 +11,7 @@ from papyra.operators import cards as cd
 from papyra.operators import checks as ck
 from papyra.operators import review as rv
 from papyra.operators import stored as st
+from papyra.operators.intervals import valid_rows
 from papyra.plans.registry import query
 from papyra.plans.story_tables import sql, story
 
@@ -110,6 +111,14 @@ def _(t):
     return st.updated_by_id(m, changes, "id", ["intent", "source_refs"]).select("id", "intent", "source_refs")
 
 
+@query("interval_valid_per_row", f"SELECT s.snapshot_id, s.chapter_index, r.relation_id FROM {sql('entity_snapshot')} s JOIN {sql('entity_relation')} r ON r.book_id = s.book_id AND r.source_entity_id = s.entity_id AND r.start_chapter <= s.chapter_index AND (r.end_chapter = 0 OR r.end_chapter >= s.chapter_index)")
+def _(t):
+    """Each snapshot with the relations of its entity that hold in its chapter."""
+    relations = story(t, "entity_relation").withColumn("entity_id", F.col("source_entity_id"))
+    met = valid_rows(story(t, "entity_snapshot"), relations, ["book_id", "entity_id"], "chapter_index")
+    return met.select("point.snapshot_id", "point.chapter_index", "interval.relation_id")
+
+
 # Checks ---------------------------------------------------------------------------------------------------------------
 
 _CHAPTERS = "SELECT DISTINCT book_id, chapter_index, 'a calm text' AS chapter_text FROM b"
