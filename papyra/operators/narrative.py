@@ -78,6 +78,46 @@ def canonical(df: DataFrame, columns: list[str], entities: DataFrame) -> DataFra
     return df
 
 
+#: Columns that name entities, one by one and in lists; what makes two records of a kind the same fact.
+NAMES, NAME_LISTS = ("source", "target", "entity_name", "side_a", "side_b", "subject_entity_name"), ("involved_entities",)
+FACTS = {"relations": ("source", "target", "relation_type"), "timeline_events": ("event_level", "event_title")}
+CHANNELS = ("entities", "entity_snapshots", "relations", "timeline_events", "locations", "foreshadowings", "conflicts", "rule_checks")
+
+
+def name_maps(entities: DataFrame) -> DataFrame:
+    """(book, chapter, names): a chapter's aliases and what they stand for; a chapter's names are few."""
+    pairs = entities.select("book", "chapter", "name", F.explode("aliases").alias("alias")).groupBy("book", "chapter", "alias").agg(F.min("name").alias("name"))
+    return pairs.groupBy("book", "chapter").agg(F.map_from_entries(F.collect_list(F.struct("alias", "name"))).alias("__names"))
+
+
+def aligned(df: DataFrame, maps: DataFrame) -> DataFrame:
+    """Records with the names of entities, in columns and in lists, as their chapter has them; names that it doesn't know, and
+    the order of lists, stay."""
+    known = lambda x: F.coalesce(F.try_element_at("__names", x), x)
+    new = {c: known(F.col(c)) for c in NAMES if c in df.columns} | {c: F.transform(c, known) for c in NAME_LISTS if c in df.columns}
+    return df.join(maps, ["book", "chapter"], "left").withColumns(new).select(*df.columns) if new else df
+
+
+def first_facts(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Of a chapter's records that are the same fact the first, by scene and place."""
+    by = ["book", "chapter", *key]
+    rest = [c for c in df.columns if c not in by]
+    once = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct("scene", "ord")).alias("r"))
+    return once.select(*[F.col(c) if c in by else F.col(f"r.{c}").alias(c) for c in df.columns])
+
+
+def merged_chapters(records: dict[str, DataFrame], checkpoint: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """All eight kinds of records of chapters (book, chapter, scene, ord, ...): entities that share a spelling are one; all other
+    kinds call them by their name; relations and events that say the same again are dropped. Locations name no entities."""
+    entities = checkpoint(merged_entities(records["entities"], checkpoint))
+    maps = checkpoint(name_maps(entities))
+    out = {"entities": entities}
+    for kind in CHANNELS[1:]:
+        rows = aligned(records[kind], maps)
+        out[kind] = first_facts(rows, FACTS[kind]) if kind in FACTS else rows
+    return out
+
+
 def entity_id(book: Column, name: Column) -> Column:
     return F.concat(F.lit("ent_"), F.substring(F.sha1(F.concat_ws("|", book, name)), 1, 20))
 
