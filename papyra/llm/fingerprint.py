@@ -3,7 +3,10 @@
 Every window of ``WINDOW`` bytes of a text is a feature. Its Shannon entropy is rolled along the text, and a fixed rule ranks
 entropies by how improbable they are (how many spreads from the usual entropy of such a window; windows of nearly one byte
 value are too weak and never chosen). In each stretch of ``STRETCH`` neighbouring features the most improbable, leftmost at a
-tie, gets a vote; features with ``VOTES`` votes are chosen (all, where a text has no more than ``FEW``). Their hashes go, in text order and each once, into a chain of
+tie, gets a vote; features with ``VOTES`` votes are chosen. So that short texts have features enough, others are chosen by the hash
+of the ``SMALL`` bytes that they begin with: of a text with n features a share of ``FEW`` / n, all of them up to ``FEW``. And so that
+an edit leaves very short texts something, windows of ``SMALL`` bytes are features too, a share of (``FEW`` / n) squared of them:
+all in texts of some 64 bytes, four of a thousand bytes. Neither jumps with a text's size. Their hashes go, in text order and each once, into a chain of
 Bloom filters of 2048 bits with five bits a feature and at most 160 features a filter. Two chains are compared by bit overlap,
 normalised between what chance gives and the most possible: each filter of the smaller chain takes its best partner in the
 other, weighted by its features. Equal texts have equal fingerprints and likeness 1.
@@ -11,7 +14,7 @@ other, weighted by its features. Equal texts have equal fingerprints and likenes
 The fingerprint is text: window size, then for each filter its feature count and its bits in hexadecimal.
 
 Edges: a null text is an empty one; an empty text has an empty chain, with likeness 1 to another empty one and else 0; a text
-shorter than the window is one feature. The next document is the next row by (doc_id, text), nulls first; that of the last is
+of less than ``SMALL`` bytes, or of one byte value, is one feature. The next document is the next row by (doc_id, text), nulls first; that of the last is
 the first; a single document is its own next.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from papyra.llm.shared import partitions, small_batches, table
 
-WINDOW, STRETCH, VOTES, FEW = 16, 32, 8, 64
+WINDOW, STRETCH, VOTES, FEW, SMALL = 16, 32, 8, 64, 4
 BITS, PER_FEATURE, PER_FILTER = 2048, 5, 160
 #: The usual entropy of a window in bits and its spread, the least entropy of a feature, and the scale of the integer sums.
 USUAL, SPREAD, LEAST, SCALE = 3.2, 0.3, 1.5, 1 << 16
@@ -55,6 +58,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _beginnings(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of SMALL bytes its number and a hash of it."""
+    m = len(x) - SMALL + 1
+    v = np.zeros(m, dtype=np.uint64)
+    for i in range(SMALL):
+        v |= x[i : i + m].astype(np.uint64) << np.uint64(8 * i)
+    return v, _mixed(v * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+
+
+def _below(h: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Whether a hash, as a number from 0 to 1, is below a share."""
+    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share
+
+
 def _features(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the chosen features. x: padded texts one after the other, each followed by WINDOW + STRETCH zeros."""
     n = len(x)
@@ -84,12 +101,18 @@ def _features(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
     chosen = best[inside & (best < _WEAK)] & ((1 << 40) - 1)
     votes = np.bincount(chosen, minlength=m)
     elected = votes >= VOTES
-    few = whole & (lengths - WINDOW < FEW)
-    for s, e in zip(starts[few].tolist(), (starts + lengths)[few].tolist()):
-        elected[s : e - WINDOW + 1] = order[s : e - WINDOW + 1] < _WEAK
+    number, begin = (v[:m] for v in _beginnings(x))
+    size = np.repeat(lengths, lengths + WINDOW + STRETCH)[:m]
+    elected |= inside & (rank >= 0) & _below(begin, FEW / np.maximum(size - WINDOW + 1, FEW))
     position = np.flatnonzero(elected)
     bytes_of = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[position].astype(np.uint64)
-    return position, _mixed((bytes_of * _MULTIPLIERS).sum(axis=1, dtype=np.uint64) ^ _mixed((bytes_of * _MULTIPLIERS[::-1]).sum(axis=1, dtype=np.uint64)))
+    hashes = _mixed((bytes_of * _MULTIPLIERS).sum(axis=1, dtype=np.uint64) ^ _mixed((bytes_of * _MULTIPLIERS[::-1]).sum(axis=1, dtype=np.uint64)))
+    again = _mixed(begin ^ np.uint64(0xD1B54A32D192ED03))
+    ends = np.repeat(starts + lengths, lengths + WINDOW + STRETCH)[:m]
+    small = np.flatnonzero((at + SMALL <= ends) & _below(again, np.square(FEW / np.maximum(size - SMALL + 1, FEW))) & (number != (number & np.uint64(255)) * np.uint64(0x01010101)))
+    position, hashes = np.concatenate((position, small)), np.concatenate((hashes, _mixed(again[small] + np.uint64(7))))
+    order = np.argsort(position, kind="stable")
+    return position[order], hashes[order]
 
 
 Chain = tuple[np.ndarray, np.ndarray]  # features of each filter, bits of each filter (filters x 256 bytes)
@@ -124,7 +147,7 @@ def chains(texts: list[bytes], block: int = 1 << 18) -> list[Chain]:
         cut = np.searchsorted(position, [*starts, len(x)])
         for k, t in enumerate(texts[i:j]):
             h = hashes[cut[k] : cut[k + 1]]
-            if t and not len(h):  # shorter than a window, or only weak windows: the whole text is the feature
+            if t and not len(h):  # shorter than a small window, or only weak ones: the whole text is the feature
                 h = np.frombuffer(hashlib.blake2b(t, digest_size=8).digest(), dtype=np.uint64)
             out.append(_chain(h))
         i = j
