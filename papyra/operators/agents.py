@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,8 +73,6 @@ def every_kind(scenes: DataFrame, extractors: Extractors) -> tuple[DataFrame, Da
 
 def newest(df: DataFrame, order: Sequence[Column], n: int = BATCH) -> DataFrame:
     """The newest rows of each book."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("book_id").orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n)
 
@@ -172,20 +170,29 @@ def embedded(texts: DataFrame, embedder_: Embedder, *, key: str = "chunk_id", te
     return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, batch long, embedding array<double>")
 
 
-def rescored(hits: DataFrame, reranker: Reranker, k: int) -> DataFrame:
-    """Hits (query_id, question, vec_id, text, score) in a reranker's order; a query whose call fails, or answers with another
-    number of scores than it has hits, keeps the order of the search."""
+#: Hits of a query that a reranker gets at once.
+CALL = 500
+
+
+def rescored(hits: DataFrame, reranker: Reranker, k: int, *, call: int = CALL) -> DataFrame:
+    """Hits (query_id, question, vec_id, text, score) in a reranker's order; a query of which a call fails, or answers with another
+    number of scores than it has hits, keeps the order of the search. A query with many hits is several calls, so that no
+    task holds all of them."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         try:
             scores = list(reranker.scores(group["question"][0].as_py(), group["text"].to_pylist()))
         except Exception:  # as without a reranker
             scores = []
-        if len(scores) != group.num_rows:
-            scores = [None] * group.num_rows
-        return pa.table({"query_id": group["query_id"], "vec_id": group["vec_id"], "score": group["score"], "again": pa.array(scores, pa.float64())})
-
-    again = hits.groupBy("query_id").applyInArrow(run, "query_id long, vec_id long, score double, again double")  # a query's hits: some tens
+        failed = len(scores) != group.num_rows
+        scores = [None] * group.num_rows if failed else scores
+        return pa.table({"query_id": group["query_id"], "vec_id": group["vec_id"], "score": group["score"], "again": pa.array(scores, pa.float64()), "failed": pa.array([failed] * group.num_rows)})
+
+    calls = hits.groupBy("query_id").agg(F.ceil(F.count("*") / call).alias("__calls"))
+    rows = hits.join(calls, "query_id").withColumn("__call", F.pmod(F.xxhash64("vec_id"), F.col("__calls"))).drop("__calls")
+    again = rows.groupBy("query_id", "__call").applyInArrow(run, "query_id long, vec_id long, score double, again double, failed boolean")
+    whole = F.max("failed").over(Window.partitionBy("query_id"))
+    again = again.withColumn("again", F.when(~whole, F.col("again"))).drop("failed")
     return reranked(again, F.col("again"), k).drop("again")
 
 

@@ -356,8 +356,7 @@ def _(t):
 
 
 def _scenes(t):
-    d = t("documents").select(F.lit("b").alias("book_id"), F.col("doc_id").alias("chapter_index"), F.lit(0).cast("long").alias("scene"), "text", F.lit(0).alias("level"), F.array().cast("array<string>").alias("names"))
-    return d.withColumn("text", F.substring_index("text", " ", 3))
+    return t("documents").select(F.lit("b").alias("book_id"), F.col("doc_id").alias("chapter_index"), F.lit(0).cast("long").alias("scene"), "text", F.lit(0).alias("level"), F.array().cast("array<string>").alias("names"))
 
 
 def words(text: str, level: int, names) -> list[dict]:
@@ -367,7 +366,7 @@ def words(text: str, level: int, names) -> list[dict]:
     return [{"name": w} for w in text.split(" ")]
 
 
-@query("extract_with_errors", "SELECT doc_id AS chapter_index, CASE WHEN coalesce(split_part(text, ' ', 1), '') = '' THEN 0 ELSE least(3, length(text) - length(replace(text, ' ', '')) + 1) END AS records, (coalesce(split_part(text, ' ', 1), '') = '')::INT AS errors FROM documents")
+@query("extract_with_errors", "SELECT doc_id AS chapter_index, CASE WHEN coalesce(split_part(text, ' ', 1), '') = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS records, (coalesce(split_part(text, ' ', 1), '') = '')::INT AS errors FROM documents")
 def _(t):
     kinds = ag.Extractors()
     kinds.register("entity", words)
