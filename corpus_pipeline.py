@@ -39,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, intact)."""
+    """(doc_id, n_tokens, ids, intact) for each row, so once for each copy that the mix took. An empty text has no ids, a null one
+    has null in their place; an empty table stays empty; columns of other names are dropped."""
     return encoded(docs)
 
 
@@ -49,6 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents`` in ``sf_dir``; each stage but the last is a table in the shared folder, from which the next one
+    reads. An empty table gives an empty result; columns that ``documents`` has besides are carried to the last stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"

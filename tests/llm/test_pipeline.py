@@ -37,3 +37,22 @@ def test_sql_gives_the_same_rows(spark, name):
     want = c.execute(queries.ORACLE_SQL[name])
     names, rows = [d[0] for d in want.description], want.fetchall()
     assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, rows))
+
+
+def test_nulls_repeated_rows_and_clashing_columns_through_all_stages(spark, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog near the quiet river bank while seven small birds sing in the old tree"
+    rows = [(1, text, "en", "s0"), (2, text, "en", "s0"), (2, text, "en", "s0"), (None, text + " again", None, None), (None, None, None, "s1"), (5, "", "en", "s1"), (6, " \t\n", "en", None), (7, "short", "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) as n_chars", "1 as row", "2 as size", "3 as k", "4 as copies", "'x' as `a.b`")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    for folder, some in (("full", docs), ("none", docs.limit(0))):
+        some.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / folder / "labels.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path / "full"))
+        assert set(kept.columns) == set(docs.columns), name
+    out = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    assert len(out) == kept.count() > 0 and all(r.intact or r.ids is None for r in out)
+    assert sum(r.ids is None for r in out) == kept.filter("text is null").count() > 0
+    assert not {r.doc_id for r in out} & {2}  # a copy of 1
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
