@@ -83,13 +83,18 @@ def referred(table: str, rows: DataFrame, names: dict[str, DataFrame]) -> tuple[
 
 def supported(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """Those (book_id, chapter_index, entity_name) that an event of the chapter supports: it names the entity among those who
-    take part, or in its content. The first is an equality join; only what is left is looked for in contents."""
+    take part, or in its content. The first is an equality join. So is the second, with no event met by every name of its
+    chapter: a content is taken apart into all its pieces that are as long as some name."""
     at = ["book_id", "chapter_index"]
     taking_part = events.select(*at, F.explode("involved_entities").alias("entity_name")).distinct()
     told = pairs.join(taking_part, [*at, "entity_name"], "left_semi")
-    rest = pairs.join(taking_part, [*at, "entity_name"], "left_anti")
-    content = events.select(*at, F.col("event_content").alias("__content"))
-    within = rest.join(content, at).filter("entity_name <> '' and contains(__content, entity_name)").select(*at, "entity_name").distinct()
+    rest = pairs.join(taking_part, [*at, "entity_name"], "left_anti").filter("entity_name <> ''")
+    content = events.select(*at, F.col("event_content").alias("__content")).filter("__content <> ''").distinct()
+    size = pairs.filter("entity_name <> ''").select(F.length("entity_name").alias("__n")).distinct()  # as many rows as lengths
+    longer = content.join(F.broadcast(size), F.length("__content") >= F.col("__n"))
+    places = F.sequence(F.lit(1), F.length("__content") - F.col("__n") + 1)
+    pieces = longer.select(*at, F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("__content"), i, F.col("__n"))))).alias("entity_name")).distinct()
+    within = rest.join(pieces, [*at, "entity_name"], "left_semi").select(*at, "entity_name").distinct()
     return told.select(*at, "entity_name").distinct().unionByName(within)
 
 
