@@ -15,12 +15,15 @@ from papyra.functions.embed import Embedder, HashedGrams, Model, Reranker
 from papyra.functions.jsonx import recovered
 from papyra.operators.relational import first_per_key
 from papyra.operators.vector import reranked
+from papyra.session import small_batches
 
 #: The kinds of extraction, in the order in which they run.
 KINDS = ("entity", "entity_snapshot", "relation", "timeline", "location", "foreshadowing", "conflict", "rule")
 #: (scene's text, level of shrinking, names known beforehand) -> records.
 Extractor = Callable[[str, int, Sequence[str]], list[dict]]
 BATCH, SHOWN = 50, 64
+#: Scenes that are read at once, and records after which what is there is passed on.
+SCENES, RECORDS = 20, 5000
 
 
 class Extractors:
@@ -38,6 +41,7 @@ class Extractors:
         return self.of.get(kind, lambda text, level, names: [])
 
 
+_json = json.JSONEncoder(ensure_ascii=False).encode
 EXTRACTED = "book_id string, chapter_index long, scene long, kind string, ord long, record string, error string"
 
 
@@ -47,17 +51,31 @@ def extracted(scenes: DataFrame, kind: str, extractors: Extractors) -> tuple[Dat
     extract = extractors.get(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = [[] for _ in range(6)]  # book_id, chapter_index, scene, ord, record, error
+
+        def first(n: int) -> pa.RecordBatch:
+            book, chapter, scene, ord_, record, error = (c[:n] for c in rows)
+            for c in rows:
+                del c[:n]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((book, chapter, scene, [kind] * len(book), ord_, record, error), _SCHEMA)], schema=_SCHEMA)
+
         for b in batches:
-            rows = []
-            for s in b.to_pylist():
-                at = {"book_id": s["book_id"], "chapter_index": s["chapter_index"], "scene": s["scene"], "kind": kind}
+            for s in (s for i in range(0, b.num_rows, SCENES) for s in b.slice(i, SCENES).to_pylist()):
                 try:
-                    found = extract(s["text"] or "", s["level"] or 0, s["names"] or [])
-                    rows += [at | {"ord": i, "record": json.dumps(r, ensure_ascii=False), "error": None} for i, r in enumerate(found)]
+                    found = [(_json(r), None) for r in extract(s["text"] or "", s["level"] or 0, s["names"] or [])]
+                    places = range(len(found))
                 except Exception as e:  # whatever an extractor raises concerns its scene only
-                    rows.append(at | {"ord": None, "record": None, "error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-
+                    found, places = [(None, f"{type(e).__name__}: {e}")], [None]
+                for c, name in zip(rows, ("book_id", "chapter_index", "scene")):
+                    c += [s[name]] * len(found)
+                rows[3] += places
+                rows[4] += [r for r, _ in found]
+                rows[5] += [e for _, e in found]
+                while len(rows[0]) >= RECORDS:
+                    yield first(RECORDS)
+        yield first(RECORDS)
+
+    small_batches(scenes.sparkSession)
     all_ = scenes.select("book_id", "chapter_index", "scene", "text", "level", "names").mapInArrow(run, EXTRACTED)
     return all_.filter("error is null").drop("error"), all_.filter("error is not null").drop("record", "ord")
 
