@@ -23,7 +23,12 @@ def snapshots(t) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("entity"), "chapter").agg(F.max_by("event_type", last).alias("status"), F.max_by("value", last).alias("value"))
 
 
-def edges(t) -> DataFrame:
+def observations(t) -> DataFrame:
+    """A row for each line, from which edges are added up."""
     both = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     chapter = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long")
-    return both.groupBy(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("kind"), chapter.alias("chapter")).agg(F.sum("l_quantity").alias("weight"))
+    return both.select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("kind"), chapter.alias("chapter"), "l_quantity")
+
+
+def edges(t) -> DataFrame:
+    return observations(t).groupBy("source", "target", "kind", "chapter").agg(F.sum("l_quantity").alias("weight"))

@@ -9,7 +9,7 @@ from papyra.operators import relational as r
 from papyra.operators import review as rv
 from papyra.operators import temporal as tm
 from papyra.operators import upsert as up
-from papyra.plans.analogues import EDGES, SNAPSHOTS, edges, snapshots
+from papyra.plans.analogues import EDGES, SNAPSHOTS, edges, observations, snapshots
 from papyra.plans.registry import query
 from papyra.plans.story_tables import sql as story_sql
 from papyra.plans.story_tables import story
@@ -23,7 +23,7 @@ INTERVALS = f"""{EDGES}, iv AS (
 
 
 def intervals(t):
-    e = edges(t).groupBy("source", "target", "kind").agg(F.min("chapter").alias("start_chapter"), F.max("chapter").alias("last"))
+    e = observations(t).groupBy("source", "target", "kind").agg(F.min("chapter").alias("start_chapter"), F.max("chapter").alias("last"))
     return e.select("source", "target", "kind", "start_chapter", F.when(F.col("last") >= 23980, F.lit(0)).otherwise(F.col("last")).cast("long").alias("end_chapter"))
 
 
@@ -83,7 +83,7 @@ LIFECYCLE = LIFECYCLE.replace("coalesce(max_by(nxt, nth) - 1, 0)", "CASE WHEN bo
 
 @query("relation_lifecycle", LIFECYCLE)
 def _(t):
-    return tm.relation_intervals(edges(t), ["source", "target"], "kind", "chapter")
+    return tm.relation_intervals(observations(t), ["source", "target"], "kind", "chapter", rows=t("lineitem").count())
 
 
 @query("relation_merge_step", f"WITH {INTERVALS}, ob AS (SELECT source, target, kind FROM edge WHERE chapter = 23982 GROUP BY ALL), p AS (SELECT DISTINCT source, target FROM ob) SELECT i.source, i.target, i.kind, i.start_chapter, CASE WHEN i.end_chapter = 0 AND p.source IS NOT NULL AND ob.kind IS NULL THEN 23981 ELSE i.end_chapter END::BIGINT AS end_chapter FROM iv i LEFT JOIN p USING (source, target) LEFT JOIN ob ON i.source = ob.source AND i.target = ob.target AND i.kind = ob.kind UNION ALL SELECT ob.source, ob.target, ob.kind, 23982, 0 FROM ob LEFT JOIN iv ON ob.source = iv.source AND ob.target = iv.target AND ob.kind = iv.kind AND iv.end_chapter = 0 WHERE iv.source IS NULL")

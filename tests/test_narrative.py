@@ -47,3 +47,26 @@ def test_checks(spark):
     assert nv.evidence_terms("short", '{"a": ["longest one", "x"], "b": "short"}', "plain") == ["longest one", "short", "plain"]
     row = spark.range(1).select(nv.sort_key(nv.F.lit(3_000_000), nv.F.lit(2), nv.F.lit(7)).alias("k")).first()
     assert row.k == 300_000_002_007
+
+
+def test_intervals_of_relations_by_brute_force(spark):
+    import random
+
+    from papyra.operators import temporal as tm
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.randrange(2), rng.choice("abc"), rng.randrange(1, 12)) for _ in range(90)]
+    want = []
+    for pair in sorted({r[:2] for r in rows}):
+        chapters = sorted({r[3] for r in rows if r[:2] == pair})
+        for kind in "abc":
+            runs = []
+            for n, c in enumerate(chapters):
+                if (*pair, kind, c) in rows:
+                    runs[-1:] = [runs[-1] + [n]] if runs and runs[-1][-1] == n - 1 else runs[-1:] + [[n]]
+            want += [(*pair, kind, chapters[r[0]], chapters[r[-1] + 1] - 1 if r[-1] + 1 < len(chapters) else 0, len(r)) for r in runs]
+    d = spark.createDataFrame(rows, "source long, target long, kind string, chapter long")
+    got = tm.relation_intervals(d, ["source", "target"], "kind", "chapter", rows=7 * tm.TASK)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
