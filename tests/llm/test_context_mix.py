@@ -194,3 +194,12 @@ def test_ranges_are_cut_by_the_bytes_of_their_words(spark):
     bounds = sorted((p, min(ws), max(ws)) for p, ws in of.items())
     assert all(a[2] < b[1] for a, b in zip(bounds, bounds[1:]))
     assert cm.in_ranges(df.limit(0), 1)[1] == 0
+
+
+def test_every_place_behind_enough_tokens_asks_what_follows():
+    words, starts, count = cm.tokens_of(["a b c d e f g h i j k l", "x y", "a b c d e f"])
+    check = cm.checks_of(words)
+    at, ctx = cm.preceded(check, starts, count)
+    assert at.tolist() == [*range(4, 13), *range(20, 23)]
+    assert ctx[9:].tolist() == ctx[:3].tolist() and (ctx >= cm.FIRSTS).all()  # the same four tokens before, in whichever text
+    assert len(set(ctx.tolist())) == 9
