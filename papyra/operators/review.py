@@ -72,11 +72,12 @@ def correctable(issues: DataFrame, columns: Mapping[str, str]) -> tuple[dict[str
     is a JSON object of a known type. columns: type -> DDL of its record."""
     open_ = F.col("status").isin("pending", "confirmed")
     known = F.col("record_type").isin(*columns)
-    is_object = F.coalesce(F.try_parse_json("suggested_value").isNotNull() & F.ltrim("suggested_value").startswith("{"), F.lit(False))
+    is_object = F.coalesce(F.ltrim("suggested_value").startswith("{") & F.try_parse_json("suggested_value").isNotNull(), F.lit(False))
     why = F.when(~open_, "not open").when(~known, "unknown type").when(~is_object, "not read")
     rows = issues.withColumn("reason", why)
-    good = rows.filter("reason is null")
-    again = {kind: good.filter(F.col("record_type") == kind).select("issue_id", F.col("book_id"), F.from_json("suggested_value", ddl).alias("r")).select("issue_id", "book_id", "r.*") for kind, ddl in columns.items()}
+    # A type's rows first: each type reads the issues, and only its own values are to be parsed.
+    of = lambda kind: issues.filter((F.col("record_type") == kind) & F.coalesce(open_, F.lit(True))).filter(is_object)
+    again = {kind: of(kind).select("issue_id", F.col("book_id"), F.from_json("suggested_value", ddl).alias("r")).select("issue_id", "book_id", "r.*") for kind, ddl in columns.items()}
     return again, rows.filter("reason is not null").select("issue_id", "record_type", "reason")
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyra.operators import persist as ps
+from papyra.operators.review import correctable
 from papyra.plans import persisting as pl
 from papyra.plans.story_tables import story
 from papyra.sources.versioned import Conflict, Versioned
@@ -119,3 +120,13 @@ def test_a_place_is_corrected_in_its_own_book(spark, small):
     issues = spark.createDataFrame([(f"vis_00000000{i}", f"book_{b}", "location_snapshot", "pending", value % p) for i, b, p in ((1, 3, "x"), (2, 3, "y"))], "issue_id string, book_id string, record_type string, status string, suggested_value string")
     out = ps.repersisted(issues, tables)
     assert sorted((r.location_id, r.book_id, r.status_desc) for r in out.tables["location_snapshot"].collect()) == [("loc_x", "book_0", "open"), ("loc_y", "book_3", "open")]
+
+
+def test_only_a_types_own_values_are_parsed(spark):
+    rows = [("1", "b", "entity", "pending", '{"name": "x"}'), ("2", "b", "entity", None, ' {"name": "y"}'), ("3", "b", "entity", "ignored", '{"name": "z"}'), ("4", "b", "rule_check", "confirmed", "[1"), ("5", "b", None, "pending", "{}"), ("6", "b", "entity", "pending", None), ("7", "b", "other", "pending", "{}")]
+    again, refused = correctable(spark.createDataFrame(rows, "issue_id string, book_id string, record_type string, status string, suggested_value string"), {"entity": "name string", "rule_check": "rule_name string"})
+    assert sorted((r.issue_id, r.name) for r in again["entity"].collect()) == [("1", "x"), ("2", "y")] and again["rule_check"].isEmpty()
+    assert sorted((r.issue_id, r.reason) for r in refused.collect()) == [("3", "not open"), ("4", "not read"), ("6", "not read"), ("7", "unknown type")]
+    plan = again["entity"]._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in plan.splitlines() if "Filter" in line).lower()
+    assert "parse" in condition and condition.index("= entity") < condition.index("parse")
