@@ -36,6 +36,10 @@ REFERENCES = {
     "foreshadowings": [("setup_event_title", "event", True, "unknown setup event")],
     "rule_checks": [("subject_entity_name", "entity", True, "unknown subject")],
 }
+#: What tells rows apart whose references may be empty, by table.
+TOLD_BY = {"timeline_events": "event_title", "foreshadowings": "title", "rule_checks": "rule_name"}
+#: Over so many keys rows are dealt that name nothing: by name they would all be one key.
+LANES = 4096
 #: The stored table of each batch.
 TABLE_OF = {
     "entities": "entity",
@@ -63,16 +67,32 @@ def issues(df: DataFrame, record_type: str, issue_type: str, description: Column
                      (F.lit(None).cast("string") if original is None else original.cast("string")).alias("original_value"), whole.alias("suggested_value"), (target_id(F.lit(record_type), whole) if target is None else target).alias("target_id"))
 
 
+def lane(rows: DataFrame, name: str, told_by: str | None) -> Column:
+    """0 for rows that name something; others are dealt to lanes by another of their columns, where they have it. Names
+    joined by it have theirs from here too: of a literal the optimizer would make a condition on one side, not a key."""
+    rest = F.pmod(F.xxhash64(told_by), F.lit(LANES)).cast("int") + 1 if told_by in rows.columns else F.lit(1)
+    return F.when(F.coalesce(F.col(name), F.lit("")) != "", F.lit(0)).otherwise(rest)
+
+
+def asked_of(rows: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """Those of names that some row asks for; by: the columns that both have, the name last. Empty names ask for nothing."""
+    return names.join(rows.filter(F.col(by[-1]) != "").select(*by).distinct(), by, "left_semi")
+
+
 def referred(table: str, rows: DataFrame, names: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(rows whose references are known, issues of the others). names: 'entity' and 'event' -> (book_id, name)."""
     columns, out = rows.columns, rows
     why: list[Column] = []
     for i, (c, kind, optional, says) in enumerate(REFERENCES.get(table, [])):
-        known = names[kind].select("book_id", F.col("name").alias(c)).distinct().withColumn(f"__{i}", F.lit(True))
-        out = out.join(known, ["book_id", c], "left")
+        known = names[kind].select("book_id", F.col("name").alias(c))
         missing = F.col(f"__{i}").isNull()
         if optional:
+            known = asked_of(rows, known, ["book_id", c]).distinct()
+            known = known.withColumns({"__lane": lane(known, c, None), f"__{i}": F.lit(True)})
+            out = out.withColumn("__lane", lane(rows, c, TOLD_BY.get(table))).join(known, ["book_id", c, "__lane"], "left").drop("__lane")
             missing &= F.coalesce(F.col(c), F.lit("")) != ""
+        else:
+            out = out.join(known.distinct().withColumn(f"__{i}", F.lit(True)), ["book_id", c], "left")
         why.append(F.when(missing, F.concat_ws(" ", F.lit(says), F.coalesce(F.col(c), F.lit("")))))
     if not why:
         return rows, issues(rows.limit(0), TABLE_OF[table], "rule_violation", F.lit(""))

@@ -130,3 +130,30 @@ def test_only_a_types_own_values_are_parsed(spark):
     plan = again["entity"]._jdf.queryExecution().optimizedPlan().toString()
     condition = next(line for line in plan.splitlines() if "Filter" in line).lower()
     assert "parse" in condition and condition.index("= entity") < condition.index("parse")
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins by shuffles of 16 partitions, as large tables have them."""
+    was = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in was}
+    for k, v in was.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_rows_that_refer_to_nothing_are_not_one_key(shuffled):
+    events = shuffled.range(4000).select(F.lit("b").alias("book_id"), F.lit(1).cast("long").alias("chapter_index"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("event_title"),
+                                         F.expr("CASE WHEN id % 40 = 0 THEN 'e7' WHEN id % 40 = 1 THEN 'lost' WHEN id % 40 = 2 THEN NULL ELSE '' END").alias("parent_title"))
+    ids = events.select("book_id", F.col("event_title").alias("name"), F.concat(F.lit("id "), "event_title").alias("id"))
+    good, bad = ps.ck.referred("timeline_events", events, {"event": ids.select("book_id", "name")})
+    there = [r["count"] for r in good.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(there) == 3900 and max(there) < 800
+    assert bad.count() == 100 and {r.description for r in bad.collect()} == {"unknown parent lost"}
+    found = ps.with_id(good, ids, "parent_title", "parent_id", told_by="event_title")
+    there = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(there) == 3900 and max(there) < 800
+    assert {(r.parent_title, r.parent_id) for r in found.select("parent_title", "parent_id").distinct().collect()} == {("e7", "id e7"), ("", None), (None, None)}
+    assert set(found.columns) == {*events.columns, "parent_id"}
