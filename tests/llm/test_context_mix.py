@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -203,3 +204,34 @@ def test_every_place_behind_enough_tokens_asks_what_follows():
     assert at.tolist() == [*range(4, 13), *range(20, 23)]
     assert ctx[9:].tolist() == ctx[:3].tolist() and (ctx >= cm.FIRSTS).all()  # the same four tokens before, in whichever text
     assert len(set(ctx.tolist())) == 9
+
+
+def test_followers_are_the_counts_by_brute_force_in_any_number_of_parts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    texts += [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want: dict[int, Counter] = {}
+    for i, t in enumerate(texts):
+        words, starts, count = cm.tokens_of([t])
+        check = cm.checks_of(words)
+        at, ctx = cm.preceded(check, starts, count)
+        kind = {0: "z", cm.FOLDS - 1: "l"}.get(cm.fold_of(i), "f")
+        for c, x in zip(ctx.tolist(), check[at].tolist()):
+            want.setdefault(c, Counter())[x, kind] += 1
+    rows = {}
+    for c, seen in want.items():
+        nx = {x for x, _ in seen}
+        f, l, z = ({x: seen[x, k] for x in nx} for k in "flz")
+        total = sum(f.values()) + sum(l.values())
+        if total >= 2 or (total >= 1 and sum(z.values())):
+            n, top = max((f[x] + l[x], x) for x in nx)
+            learnt, best = max((f[x], x) for x in nx)
+            rows[c] = (top, n, total, learnt, sum(f.values()), l[best], sum(l.values()))
+    for parts in (1, 5):
+        got = cm.followers(docs, "doc_id", "text", parts)
+        assert {r.ctx: tuple(r)[1:] for r in got.filter(F.col("ctx") >= cm.FIRSTS).collect()} == rows
+        cells = got.filter(F.col("ctx") < cm.FIRSTS).agg(F.sum("of"), F.sum("trials")).first()
+        tokens = [(cm.fold_of(i), len(cm.words_of(t)) + 1) for i, t in enumerate(texts)]
+        assert tuple(cells) == (sum(n for f, n in tokens if f not in (0, cm.FOLDS - 1)), sum(n for f, n in tokens if f == cm.FOLDS - 1))
+    assert cm.followers(docs.limit(0), "doc_id", "text").filter(F.col("ctx") >= cm.FIRSTS).count() == 0
