@@ -39,3 +39,31 @@ def test_no_terms_and_no_texts(spark):
     t = spark.createDataFrame([], "owner string, term string")
     assert tm.earliest_hits(d, t, key=["id"], text="text").count() == 0
     assert tm.earliest_hits(d.limit(0), spark.createDataFrame([("o", "a")], t.schema), key=["id"], text="text").count() == 0
+
+
+def test_many_terms_meet_no_text_twice(spark):
+    """A text goes to Python once however many terms there are, few pieces pass that are no terms, and nothing is broadcast or grouped."""
+    d = spark.createDataFrame([(i, f"Name#{i:06d} and others") for i in range(3000)], "id long, text string").repartition(8)
+    t = spark.createDataFrame([(i, f"Name#{i:06d}") for i in range(0, 6000, 2)] + [(i, f"the {i}") for i in range(3000)], "owner long, term string")
+    got = tm.earliest_hits(d, t, key=["id"], text="text", shard=1000, cell=2000)
+    assert sorted((r.id, r.owner, r.term, r.at) for r in got.collect()) == [(i, i, f"Name#{i:06d}", 0) for i in range(0, 3000, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan and "MapInArrow" in plan
+    executed = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in executed and "Broadcast" not in executed
+
+
+def test_bloom_holds_all_terms_and_few_others():
+    import numpy as np
+
+    from papyra.operators.terms import Hashed, _holds, _probe
+
+    words = [f"Customer#{i:09d}" for i in range(5000)]
+    h = Hashed("".join(words)).pieces(np.arange(5000) * 18, np.full(5000, 18), np.zeros(5000, dtype=np.uint64))
+    assert len(set(h.tolist())) == 5000
+    assert (Hashed("x " + words[7]).every(18, np.zeros(20, dtype=np.uint64))[2] == h[7]).all()
+    bits, on = 17, np.zeros(1 << 17, dtype=bool)
+    for i in range(4):
+        on[_probe(h[:4000], i, bits)] = True
+    found = _holds(np.packbits(on), h)
+    assert set(range(4000)) <= set(found.tolist()) and len(found) < 4040
