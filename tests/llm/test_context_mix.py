@@ -235,3 +235,63 @@ def test_followers_are_the_counts_by_brute_force_in_any_number_of_parts(spark):
         tokens = [(cm.fold_of(i), len(cm.words_of(t)) + 1) for i, t in enumerate(texts)]
         assert tuple(cells) == (sum(n for f, n in tokens if f not in (0, cm.FOLDS - 1)), sum(n for f, n in tokens if f == cm.FOLDS - 1))
     assert cm.followers(docs.limit(0), "doc_id", "text").filter(F.col("ctx") >= cm.FIRSTS).count() == 0
+
+
+def test_asks_are_packed_and_told_as_by_hand():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    head = [b"a", b"b", b"c"]
+    value, opens = np.concatenate((rng.random((3, 3)), np.zeros((1, 3)))).astype(np.float32), rng.random((cm.FIRSTS, 2)).astype(np.float32)
+    check_of_head = np.append(cm.checks_of(head), 0)
+    chance = rng.uniform(0.1, 0.9, cm.FOLLOW_GATES).tolist()
+    size = 4000
+    ctx = rng.integers(1 << 47, (1 << 47) + 50, size) - rng.integers(0, 2, size)
+    number, doc = rng.integers(-1, 3, size), np.sort(rng.integers(0, 30, size))
+    cell = rng.integers(0, cm.FIRSTS, size)
+    rare = [[b"odd", "字".encode()][i % 2] for i in range(int((number < 0).sum()))]
+    docs = np.arange(100, 130) - 110, rng.integers(-9, 9, 30) << 40, np.arange(30) % 3
+    found = pa.table({"ctx": np.arange(1 << 47, (1 << 47) + 40)[::-1].copy(), "nx": cm.checks_of([[*head, b"odd"][i % 4] for i in range(40)]), "n": np.arange(40) % 5 + 1, "total": np.arange(40) % 5 + 1 + np.arange(40) % 3})
+    rows = cm.asks_of(ctx % 7, ctx, number, cell, doc, rare, docs)
+    assert len(rows) == 7 and sum(len(r["high"]) + len(r["low"]) + len(r["code"]) + len(r["token"]) for r in rows) == 12 * size
+    answers = cm.Answers(found, chance, value, opens, check_of_head)
+    got: dict = {}
+    for r in rows:
+        for t in answers.told(*cm.asked(r)).to_pylist():
+            x = got.setdefault((t["k"], t["h"], t["word"]), np.zeros(4))
+            x += [t["s0"], t["s1"], t["extra"], t["word"] is not None]
+    follow, want, left = {r["ctx"]: r for r in found.to_pylist()}, {}, iter(rare)
+    for c, i, o, d in zip(ctx.tolist(), number.tolist(), cell.tolist(), doc.tolist()):
+        word = head[i] if i >= 0 else next(left)
+        own = int(docs[2][d] > 0)
+        key = None if docs[2][d] == 2 else int(docs[0][d]), int(docs[1][d])
+        if (f := follow.get(c)) is None or f["total"] - own < 1:
+            continue
+        same = zlib.crc32(word) == f["nx"]
+        others, of = f["n"] - own * same, f["total"] - own
+        came = same and others >= 1
+        gate = sum(max(others, 1) >= b for b in cm.OFTEN) * (len(cm.SURE) + 1) + sum(max(others, 1) * 100 / of >= b for b in cm.SURE)
+        x = want.setdefault((*key, None), np.zeros(4))
+        x[2] += math.log10(chance[gate] if came else 1 - chance[gate])
+        if came:
+            x[:2] -= value[i, 1:] + opens[o]
+            if i < 0:
+                want.setdefault((*key, word.decode()), np.zeros(4))[3] += 1
+    assert got.keys() == want.keys() and any(w for _, _, w in want)
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-5)
+
+
+def test_contexts_known_everywhere_give_what_asking_gives(spark, monkeypatch):
+    rows = [(i, "one two three four five six " * 3 + ("seven eight" if i % 3 else f"nine w{i}")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    score = lambda: {r.doc_id: r.score for r in cm.scores(docs, by=None, head=6).collect()}
+    asked = score()
+    monkeypatch.setattr(cm, "HOT", 1)
+    monkeypatch.setattr(cm, "MET", 500)  # many parts
+    parts = score()
+    assert asked.keys() == parts.keys() and all(math.isclose(asked[k], parts[k], rel_tol=1e-9) for k in asked)
+    monkeypatch.setattr(cm, "HOT_LEAST", 0)
+    monkeypatch.setattr(cm, "HOT", 100_000)
+    known = score()
+    assert all(math.isclose(asked[k], known[k], rel_tol=1e-9) for k in asked)
